@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from bitik.functions.alphabet import APOSTROPHES, FOLD_FROM, FOLD_TO, TUTUQ
-from bitik.session import spread
+from bitik.session import materialise, spread
 
 # Unicode's default-ignorable code points, as ranges.
 IGNORABLE = (
@@ -130,7 +130,7 @@ def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes are expanded, in salted parts, because every pair of members is asked for. Rows with a null id
     or text are left out; equal ids never pair with themselves.
     """
-    prints = fingerprints(df, id_col, text_col)
+    prints = materialise(fingerprints(df, id_col, text_col))  # read by every join below
     classes = prints.groupBy("form", "raw").agg(F.lit(1).alias("one")).select("form", "raw")
     several = classes.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     twins = classes.join(several, "form", "left_semi")
