@@ -67,12 +67,15 @@ def is_protected_run(run: Column) -> Column:
 
 
 def blank_protected(text: Column) -> Column:
-    return F.array_join(F.transform(runs(text), lambda r: F.when(is_protected_run(r), F.lit(" ")).otherwise(r)), "")
+    """The text with every protected run blanked; a text without any is not taken apart."""
+    blanked = F.array_join(F.transform(runs(text), lambda r: F.when(is_protected_run(r), F.lit(" ")).otherwise(r)), "")
+    return F.when(is_protected_run(text), blanked).otherwise(text)
 
 
 def mark_glued(text: Column) -> Column:
     """P5: tokens beside a digit or underscore become one marker each."""
-    return F.regexp_replace(text, rf"(?<={DIGIT})(?>{TOKEN})|(?>{TOKEN})(?={DIGIT})", GLUED)
+    marked = F.regexp_replace(text, rf"(?<={DIGIT})(?>{TOKEN})|(?>{TOKEN})(?={DIGIT})", GLUED)
+    return F.when(text.rlike(f"{DIGIT}{LETTER}|{LETTER}{APOS}?{DIGIT}"), marked).otherwise(text)
 
 
 def tokens_of(text: Column) -> Column:
@@ -89,27 +92,38 @@ def is_token(piece: Column) -> Column:
     return piece.rlike(f"^{LETTER}")
 
 
-def detect_script(token: Column) -> Column:
-    """Latin, cyrillic or mixed; letters of a third script make it mixed."""
-    letters = F.regexp_replace(token, r"[^\p{L}]|[ʻʼʽʿ]", "")
+def letters_of(token: Column) -> Column:
+    """The letters of a token, without marks and apostrophes."""
+    return F.regexp_replace(token, r"[^\p{L}]|[ʻʼʽʿ]", "")
+
+
+def script_of_letters(letters: Column) -> Column:
     cyrillic = letters.rlike(r"[\x{0400}-\x{052f}]")
     latin = letters.rlike(r"[\x{0000}-\x{007f}\x{00c0}-\x{024f}\x{1e00}-\x{1eff}]")
     other = letters.rlike(r"[^\x{0400}-\x{052f}\x{0000}-\x{007f}\x{00c0}-\x{024f}\x{1e00}-\x{1eff}]")
-    return F.when(other | (cyrillic & latin), "mixed").when(cyrillic, "cyrillic").when(token.isNotNull(), "latin")
+    return F.when(other | (cyrillic & latin), "mixed").when(cyrillic, "cyrillic").when(letters.isNotNull(), "latin")
 
 
-def case_pattern(token: Column) -> Column:
-    """Lower, title, upper or mixed over the letters; one capital alone is title."""
-    w = F.regexp_replace(token, r"[^\p{L}]|[ʻʼʽʿ]", "")
+def case_of_letters(w: Column) -> Column:
     first, rest = F.substring(w, 1, 1), F.substr(w, F.lit(2))
     return (
         F.when(w == F.lower(w), "lower")
         .when(w == F.upper(w), F.when(F.length(w) == 1, "title").otherwise("upper"))
         .when((first == F.upper(first)) & (rest == F.lower(rest)), "title")
-        .when(token.isNotNull(), "mixed")
+        .when(w.isNotNull(), "mixed")
     )
 
 
+def detect_script(token: Column) -> Column:
+    """Latin, cyrillic or mixed; letters of a third script make it mixed."""
+    return script_of_letters(letters_of(token))
+
+
+def case_pattern(token: Column) -> Column:
+    """Lower, title, upper or mixed over the letters; one capital alone is title."""
+    return case_of_letters(letters_of(token))
+
+
 def letter_count(token: Column) -> Column:
     return F.length(strip_apostrophes(token))
 

@@ -17,7 +17,7 @@ CYRILLIC_VOWELS = "аеёиоуэюяў"
 RECOVERY = {"у": ("u", "ö"), "к": ("k", "q"), "х": ("x", "h")}
 READING_LIMIT = 4096
 # private-use characters stand for finished letter pairs while rules still run
-_SH = "\ue000"
+_SH, _YE, _TS = "\ue000", "\ue006", "\ue007"
 
 
 def _single(table: dict[str, str]) -> tuple[str, str]:
@@ -61,9 +61,18 @@ def cyrillic_options(low: Column, recovery: bool = True) -> Column:
 
 
 def cyrillic_to_new(low: Column) -> Column:
-    """A lower-case Cyrillic word in new Latin; letters outside the alphabet stay."""
-    chars = F.split(low, "")
-    return F.array_join(F.transform(chars, lambda c, i: F.coalesce(_letter(chars, c, i), F.translate(c, *_SINGLE))), "")
+    """A lower-case Cyrillic word in new Latin; letters outside the alphabet stay.
+
+    A chain of replacements: letters that depend on their neighbours come first, while those still stand.
+    """
+    out = F.regexp_replace(low, f"(?<=[{CYRILLIC_VOWELS}])ц", _TS)
+    out = F.regexp_replace(out, f"(?:^|(?<=[{CYRILLIC_VOWELS}ъь'`´‘’ʻʼʽʿ′]))е", _YE)
+    out = F.regexp_replace(out, f"[ъ'`´‘’ʻʼʽʿ′](?=[еёюя{_YE}])", "")
+    out = F.regexp_replace(F.translate(out, "ъ" + APOSTROPHES, TUTUQ * (1 + len(APOSTROPHES))), "ь(?=о)", "y")
+    out = F.translate(out, _SINGLE[0] + "ець", _SINGLE[1] + "es")
+    for mark, pair in ((_TS, "ts"), (_YE, "ye"), ("ё", "yo"), ("ю", "yu"), ("я", "ya")):
+        out = F.replace(out, F.lit(mark), F.lit(pair))
+    return out
 
 
 def has_foreign_cyrillic(low: Column) -> Column:

@@ -7,7 +7,7 @@ than the tokens of one sentence, and counts are combined before each shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from bitik.functions import text as tx, translit as tr
 from bitik.functions.alphabet import TUTUQ
@@ -29,33 +29,41 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
 
 def sentences(docs: DataFrame, *keep: str) -> DataFrame:
     """One row a sentence with its tokens in order; glued tokens are markers. Addresses are blanked."""
-    chunks = F.posexplode(F.split(tx.blank_protected(tx.normalize(F.col("text"))), r"[.!?…\n]+")).alias("sent", "chunk")
+    # outer generators: the optimiser would put a size test, and with it the whole expression, below an inner one
+    chunks = F.posexplode_outer(F.split(tx.blank_protected(tx.normalize(F.col("text"))), r"[.!?…\n]+")).alias("sent", "chunk")
     rows = spread(scan(docs, *keep)).select(*keep, chunks)
-    return rows.select(*keep, "sent", tx.tokens_of(F.col("chunk")).alias("items")).where(F.size("items") > 0)
+    return rows.select(*keep, "sent", tx.tokens_of(F.col("chunk")).alias("items"))
 
 
 def tokens(docs: DataFrame, *keep: str) -> DataFrame:
     """One row a token: keys, sent, pos, surface; the surface of a glued token is null."""
-    rows = sentences(docs, *keep).select(*keep, "sent", F.posexplode("items").alias("pos", "item"))
+    rows = sentences(docs, *keep).select(*keep, "sent", F.posexplode_outer("items").alias("pos", "item")).where("pos IS NOT NULL")
     return rows.select(*keep, "sent", "pos", F.nullif(F.col("item"), F.lit(tx.GLUED)).alias("surface"))
 
 
-def canonical_form(surface: Column) -> Column:
-    """The canonical new-Latin form of a word token; null for tokens outside the alphabet or of mixed case."""
-    low = F.lower(surface)
-    script = tx.detect_script(low)
-    cyrillic = F.when(~low.rlike(f"[^{UZ_CYRILLIC}'`´‘’ʻʼʽʿ′]"), tr.cyrillic_to_new(low))
-    latin = tr.old_to_new(low)
-    latin = F.when(~latin.rlike(f"[^{UZ_LATIN}]"), latin)
-    canon = F.when(script == "cyrillic", cyrillic).when(script == "latin", latin)
-    return F.when(tx.case_pattern(surface) != "mixed", F.nullif(F.ltrim(canon, F.lit(TUTUQ)), F.lit("")))
+def with_canon(rows: DataFrame, surface: str = "surface", canon: str = "canon", letter_case: str = "letter_case") -> DataFrame:
+    """`rows` with the letter case of a token column and its canonical new-Latin form.
+
+    The form is null for tokens outside the alphabet or of mixed case. Each step is a column of its own, so
+    that no rule is evaluated twice and the generated code stays small.
+    """
+    c = F.col
+    out = rows.withColumn("_low", F.lower(c(surface))).withColumn("_letters", tx.letters_of(c(surface)))
+    out = out.withColumn(letter_case, tx.case_of_letters(c("_letters"))).withColumn("_script", tx.script_of_letters(F.lower("_letters")))
+    plain = c(letter_case) != "mixed"
+    cyrillic = plain & (c("_script") == "cyrillic") & ~c("_low").rlike(f"[^{UZ_CYRILLIC}'`´‘’ʻʼʽʿ′]")
+    out = out.withColumn("_read", F.when(cyrillic, tr.cyrillic_to_new(c("_low"))).when(plain & (c("_script") == "latin"), tr.old_to_new(c("_low"))))
+    out = out.withColumn("_read", F.ltrim("_read", F.lit(TUTUQ)))
+    # the partition id, which is never negative, keeps filters on the result from being pushed below this
+    # step, where they would repeat every rule above once for each use
+    inside = (c("_read") != "") & ~c("_read").rlike(f"[^{UZ_LATIN}]") & (F.spark_partition_id() >= 0)
+    return out.withColumn(canon, F.when(inside, c("_read"))).drop("_low", "_letters", "_script", "_read")
 
 
 def analysed(rows: DataFrame) -> DataFrame:
     """`rows` with kind (word, outside or protected), canon and letter_case of the column surface."""
-    with_canon = rows.withColumn("letter_case", tx.case_pattern(F.col("surface"))).withColumn("canon", canonical_form(F.col("surface")))
     kind = F.when(F.col("surface").isNull() | (F.col("letter_case") == "mixed"), "protected").when(F.col("canon").isNull(), "outside").otherwise("word")
-    return with_canon.withColumn("kind", kind)
+    return with_canon(rows).withColumn("kind", kind)
 
 
 def document_stats(docs: DataFrame, max_outside: float = MAX_OUTSIDE) -> DataFrame:
@@ -94,25 +102,28 @@ def surfaces(docs: DataFrame, *keep: str) -> DataFrame:
 
 def unigrams(docs: DataFrame, min_count: int = 1) -> DataFrame:
     """A1, A2, F2: word with its counts by register and by letter case, of the words seen `min_count` times."""
-    words = analysed(surfaces(docs, "register")).where("kind = 'word' AND register IS NOT NULL")
+    rows = analysed(surfaces(docs, "register").where("register IS NOT NULL")).select("register", "letter_case", "canon", "n")
     n = F.col("n")
     by = [F.sum(F.when(F.col("register") == r, n).otherwise(0)).alias(r) for r in REGISTERS]
     cases = [F.sum(F.when(F.col("letter_case") == c, n).otherwise(0)).alias(c) for c in ("title", "lower")]
-    out = words.groupBy(F.col("canon").alias("word")).agg(*by, *cases)
-    return out.where(F.col("books") + F.col("news") + F.col("telegram") >= min_count)
+    # tested on an aggregate: a test of the word itself would be pushed down and analyse every form twice
+    out = rows.groupBy(F.col("canon").alias("word")).agg(*by, *cases, F.count("canon").alias("forms"))
+    return out.where((F.col("forms") > 0) & (F.col("books") + F.col("news") + F.col("telegram") >= min_count)).drop("forms")
 
 
 def word_pairs(docs: DataFrame, vocabulary: DataFrame | None = None, min_count: int = 1) -> DataFrame:
     """w1, w2, count of neighbouring words inside a sentence.
 
-    A chain breaks at a token that is no word. Neighbours are taken inside the sentence's own array, so
-    nothing moves before the partly combined counts do. With a `vocabulary` (column word), pairs with another word fall out.
+    A chain breaks at a token that is no word. Neighbours are taken inside the sentence's own array and
+    counted as typed, so that only distinct typed pairs are analysed. With a `vocabulary` (column word),
+    pairs with another word fall out.
     """
-    rows = sentences(docs)
-    canon = F.transform("items", lambda s: canonical_form(F.nullif(s, F.lit(tx.GLUED))))
-    pairs = rows.select(canon.alias("c")).where(F.size("c") > 1)
-    pairs = pairs.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.get("c", i - 1).alias("w1"), F.get("c", i).alias("w2")))).alias("p"))
-    counts = pairs.select("p.*").where("w1 IS NOT NULL AND w2 IS NOT NULL").groupBy("w1", "w2").agg(F.count("*").alias("count"))
+    items = F.col("items")
+    near = F.transform(F.sequence(F.lit(1), F.size(items) - 1), lambda i: F.struct(F.get(items, i - 1).alias("a"), F.get(items, i).alias("b")))
+    typed = sentences(docs).select(F.explode_outer(F.when(F.size(items) > 1, near)).alias("p")).groupBy("p.a", "p.b").agg(F.count("p.a").alias("n"))
+    typed = typed.where((F.col("n") > 0) & (F.col("a") != tx.GLUED) & (F.col("b") != tx.GLUED))
+    named = with_canon(with_canon(typed, "a", "w1", "_case1"), "b", "w2", "_case2").select("w1", "w2", "n")
+    counts = named.groupBy("w1", "w2").agg(F.sum("n").alias("count"), F.count("w1").alias("k1"), F.count("w2").alias("k2")).where("k1 > 0 AND k2 > 0")
     if vocabulary is not None:
         for side in ("w1", "w2"):
             counts = counts.join(vocabulary.select(F.col("word").alias(side)), side, "left_semi")

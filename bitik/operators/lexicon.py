@@ -50,17 +50,18 @@ def admission(words: DataFrame, protected: DataFrame | None = None, ratio: float
         .when(tx.is_marked(w), F.when(total() < MIN_COUNT, "rare"))
         .when(F.col("books") < MIN_COUNT, "unmarked-not-in-books")
     )
-    judged = words.withColumn("skeleton", tx.skeleton_key(w)).withColumn("reason", first)
-    base = judged.where("reason IS NULL").select(F.col("word").alias("g"), "skeleton", F.col("books").alias("g_books"))
+    # a stripped variant has its source's skeleton and bare form; only such pairs meet the pattern
+    judged = words.withColumn("skeleton", tx.skeleton_key(w)).withColumn("bare", tx.bare(w)).withColumn("reason", first)
+    base = judged.where("reason IS NULL").select(F.col("word").alias("g"), "skeleton", "bare", F.col("books").alias("g_books"))
     from_g = (F.col("g") != w) & F.rlike(w, tx.stripped_pattern(F.col("g")))
-    tops = judged.where("reason IS NULL").join(base, "skeleton").where(from_g).groupBy("word").agg(F.max("g_books").alias("top"))
+    tops = judged.where("reason IS NULL").join(base, ["skeleton", "bare"]).where(from_g).groupBy("word").agg(F.max("g_books").alias("top"))
     judged = judged.join(tops, "word", "left")
     below = F.col("reason").isNull() & (F.col("books") < ratio * F.col("top"))
     judged = judged.withColumn("reason", F.when(~F.col("protected"), F.when(below, "stripped-variant-below-ratio").otherwise(F.col("reason")))).drop("top")
     judged = judged.withColumn("admitted", F.col("reason").isNull())
-    targets = judged.where("admitted").select(F.col("word").alias("g"), "skeleton", total().alias("g_total"))
+    targets = judged.where("admitted").select(F.col("word").alias("g"), "skeleton", "bare", total().alias("g_total"))
     best = F.min(F.struct((-F.col("g_total")).alias("o"), F.col("g").alias("g")))
-    merges = judged.where("NOT admitted").join(targets, "skeleton").where(from_g).groupBy("word").agg(best.alias("best")).select("word", F.col("best.g").alias("merged_into"))
+    merges = judged.where("NOT admitted").join(targets, ["skeleton", "bare"]).where(from_g).groupBy("word").agg(best.alias("best")).select("word", F.col("best.g").alias("merged_into"))
     return judged.join(merges, "word", "left").select("word", *COUNTS, "skeleton", "protected", "admitted", "reason", "merged_into")
 
 

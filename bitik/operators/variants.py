@@ -67,9 +67,10 @@ def contradicts(reading: Column, candidate: Column, cyrillic: Column) -> Column:
 
 def stripped_pairs(words: DataFrame) -> DataFrame:
     """(word, source): admitted words that are another one with some marks removed."""
-    g = words.select(F.col("word").alias("source"), "skeleton", total().alias("source_total"))
-    pairs = words.select("word", "skeleton", total().alias("total")).join(g, "skeleton")
-    return pairs.where((F.col("word") != F.col("source")) & F.rlike(F.col("word"), tx.stripped_pattern(F.col("source")))).drop("skeleton")
+    bare = tx.bare(F.col("word")).alias("bare")
+    g = words.select(F.col("word").alias("source"), "skeleton", bare, total().alias("source_total"))
+    pairs = words.select("word", "skeleton", bare, total().alias("total")).join(g, ["skeleton", "bare"])
+    return pairs.where((F.col("word") != F.col("source")) & F.rlike(F.col("word"), tx.stripped_pattern(F.col("source")))).drop("skeleton", "bare")
 
 
 def ambiguous(words: DataFrame) -> DataFrame:
