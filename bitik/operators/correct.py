@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bitik.functions import text as tx, translit as tr
 from bitik.operators.evidence import evidence
 from bitik.operators.lexicon import packed, total
+from bitik.session import materialise
 
 LAMBDA, NU, MIX = 2.0, 0.5, 0.5
 ACRONYM = 4
@@ -126,9 +127,12 @@ def autocorrect(texts: DataFrame, lex: DataFrame, bigrams: DataFrame, suffixes:
     """Q1: key, corrected for texts (key, text)."""
     rows = segments(texts, key).withColumn("low", F.lower(tx.fold_confusables(F.col("piece")))).withColumn("script", tx.detect_script(F.col("low")))
     plain = (F.col("kind") == "token") & (F.col("script") != "mixed") & (F.col("letter_case") != "mixed") & ~((F.col("script") == "cyrillic") & tr.has_foreign_cyrillic(F.col("low")))
-    rows = rows.withColumn("plain", plain)
-    known = resolve(rows.where("plain").select("low", "script").distinct(), lex, suffixes)
-    rows = rows.join(known, ["low", "script"], "left")
+    rows = materialise(rows.withColumn("plain", plain))  # read for the forms, for the choice and for the result
+    known = materialise(resolve(rows.where("plain").select("low", "script").distinct(), lex, suffixes))
+    written = rows.where("kind IN ('token', 'glued')").select("piece").distinct()
+    written = written.select("piece", tr.rule_token(F.col("piece"), script).alias("as_written"))
+    # a word that fills a third of the texts makes one skewed key, which adaptive execution splits on this side
+    rows = rows.join(known, ["low", "script"], "left").join(written, "piece", "left")
     short = tx.letter_count(F.col("low")) < 2
     acronym = F.col("valid").isNull() & (F.col("letter_case") == "upper") & ~F.col("shouting") & (tx.letter_count(F.col("low")) <= ACRONYM)
     proper = F.col("letter_case").isin("title", "upper") & ~F.col("initial") & ~F.col("shouting")
@@ -142,7 +146,7 @@ def autocorrect(texts: DataFrame, lex: DataFrame, bigrams: DataFrame, suffixes:
     rows = rows.join(chosen, [key, "run_no", "piece_no"], "left")
     word = F.when(~F.col("typed"), F.coalesce("chosen", F.get("options.word", F.lit(0)), F.when(F.col("cands").isNull() & ~((F.col("script") == "cyrillic") & F.lit(script == "cyrillic")), F.col("morph"))))
     shown = tr.render(word, script, F.col("letter_case"))
-    as_typed = F.when(F.col("kind").isin("gap", "protected"), F.col("piece")).otherwise(tr.rule_token(F.col("piece"), script))
+    as_typed = F.coalesce("as_written", "piece")
     out = F.when(word.isNotNull(), F.when(tx.same_letters(shown, F.col("piece")), F.col("piece")).otherwise(shown)).otherwise(as_typed)
     parts = rows.select(key, F.struct("run_no", "piece_no", out.alias("out")).alias("p")).groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("ps"))
     joined = parts.select(key, F.array_join("ps.out", "").alias("corrected"))

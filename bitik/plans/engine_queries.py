@@ -14,9 +14,10 @@ SIZE = 50_000
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lexicon, bigram scores and suffixes, each written once; the build size bounds the first."""
-    words = materialise(lx.build(lq._merged(spark, sf_dir), SIZE))
-    bigrams = materialise(correct.bigram_scores(lq.merged_bigrams(spark, sf_dir)))
-    suffixes = lx.suffix_chains(words.select("word", lx.total().alias("n")), 50, 5, 2)
+    admitted = materialise(lq._admitted(spark, sf_dir))
+    words = materialise(lx.build(lx.merged_counts(admitted), SIZE))
+    bigrams = materialise(correct.bigram_scores(materialise(lx.merged_bigrams(lq.directed_bigrams(spark, sf_dir), admitted))))
+    suffixes = materialise(lx.suffix_chains(words.select("word", lx.total().alias("n")), 50, 5, 2))
     return materialise(correct.lexicon(words)), bigrams, suffixes
 
 
