@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from bitik.functions.alphabet import APOSTROPHES, FOLD_FROM, FOLD_TO, TUTUQ
+from bitik.llm.charmap import CharMap
 from bitik.session import materialise, spread
 
 # Unicode's default-ignorable code points, as ranges.
@@ -36,10 +37,10 @@ CYRILLIC_LATIN = "aeopcyxijsdqwlABEKMHOPCTYXIJSGQWIY"
 GREEK_LIKE = "ονιαρυκϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ"
 GREEK_LATIN = "oviapukjABEZHIKMNOPTYXC"
 
-_MAPS: dict[str, dict] = {}
+_MAPS: dict[str, CharMap] = {}
 
 
-def _maps() -> dict[str, dict]:
+def _maps() -> dict[str, CharMap]:
     """The tables before and after normalisation, built once a process from Unicode's own data."""
     if not _MAPS:
         before: dict[int, str | None] = {c: None for lo, hi in IGNORABLE for c in range(lo, hi + 1)}
@@ -55,11 +56,18 @@ def _maps() -> dict[str, dict]:
         before |= {ord(c): TUTUQ for c in APOSTROPHES} | {ord("\t"): " "}
         after: dict[int, str] = dict(zip(map(ord, CYRILLIC_LIKE + GREEK_LIKE), CYRILLIC_LATIN + GREEK_LATIN, strict=True))
         after |= {ord(c): TUTUQ for c in APOSTROPHES}
+        # composed letters in the same step: what their decomposed, mapped and composed form is
+        for c in range(0x80, 0x2000):
+            one = unicodedata.normalize("NFC", unicodedata.normalize("NFKD", chr(c)).translate(after))
+            if c not in after and unicodedata.category(chr(c))[0] == "L" and one != chr(c):
+                after[c] = one
         after |= {ord(v): chr(k) for k, v in visible.items()}
-        _MAPS.update(before=before, fold=str.maketrans(FOLD_FROM, FOLD_TO), after=after)
+        fold = dict(zip(map(ord, FOLD_FROM), FOLD_TO, strict=True))
+        _MAPS.update(before=CharMap(before), fold=CharMap(fold), after=CharMap(after))
     return _MAPS
 
 
+_FOLDED = re.compile(f"[{FOLD_FROM}]")
 _NOT_PLAIN = re.compile(r"[^\x00-\x0a\x0e-\x7f]")
 
 
@@ -68,10 +76,10 @@ def canonical(text: str, casefold: bool = False) -> str:
     maps = _maps()
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if _NOT_PLAIN.search(text):
-        text = text.translate(maps["before"])
-        # the project's folds name composed letters; its base letters are matched decomposed, then composed again
-        text = unicodedata.normalize("NFKC", text).translate(maps["fold"])
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFKD", text).translate(maps["after"]))
+        text = unicodedata.normalize("NFKC", maps["before"](text))
+        if _FOLDED.search(text):
+            text = maps["fold"](text)
+        text = unicodedata.normalize("NFC", maps["after"](text))
     else:
         text = text.replace("\t", " ").replace("'", TUTUQ).replace("`", TUTUQ)
     return unicodedata.normalize("NFC", text.casefold()) if casefold else text
