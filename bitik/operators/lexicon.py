@@ -91,7 +91,7 @@ def build(words: DataFrame, size: int, by: str = "total") -> DataFrame:
     both = top.unionByName(missing).join(F.broadcast(forced), "word", "left")
     first = F.row_number().over(Window.orderBy(F.col("forced").desc_nulls_last(), *order_columns(by)))
     kept = both.withColumn("r", first).where(F.col("r") <= size).drop("r", "forced")
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order_columns(by))) - 1)
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order_columns(by))).cast("bigint") - 1)
 
 
 def packed(words: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def build_bigrams(bigrams: DataFrame, words: DataFrame, size: int) -> DataFrame:
 def adjacency(bigrams: DataFrame) -> DataFrame:
     """AR2: for each word its successors, most frequent first, as one text."""
     rows = bigrams.select("w1", F.struct((-F.col("count")).alias("o"), F.col("w2").alias("w")).alias("s"))
-    return rows.groupBy("w1").agg(F.array_sort(F.collect_list("s")).alias("l")).select("w1", F.size("l").alias("successors"), F.concat_ws(" ", "l.w").alias("words"))
+    return rows.groupBy("w1").agg(F.array_sort(F.collect_list("s")).alias("l")).select("w1", F.size("l").cast("bigint").alias("successors"), F.concat_ws(" ", "l.w").alias("words"))
 
 
 def size_cutoff(rows: DataFrame, columns: list[str], cap: int, lowest: int = 3, highest: int = 200) -> DataFrame:
@@ -148,7 +148,7 @@ def size_cutoff(rows: DataFrame, columns: list[str], cap: int, lowest: int = 3,
     steps = F.explode(F.sequence(F.lit(lowest), F.lit(highest - 1)))
     grid = by.sparkSession.range(1).select(steps.alias("cutoff"))
     sums = grid.join(F.broadcast(by), F.col("t") >= F.col("cutoff"), "left").groupBy("cutoff").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
-    return sums.where(F.col("bytes") <= cap).agg(F.min("cutoff").alias("cutoff"), F.max("bytes").alias("bytes"))
+    return sums.where(F.col("bytes") <= cap).agg(F.min("cutoff").cast("bigint").alias("cutoff"), F.max("bytes").alias("bytes"))
 
 
 def suffix_chains(words: DataFrame, stem_min: int = 1000, word_min: int = 10, min_stems: int = 100) -> DataFrame:

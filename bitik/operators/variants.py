@@ -77,7 +77,7 @@ def ambiguous(words: DataFrame) -> DataFrame:
     """Skeletons with several admitted words, with the words by falling count."""
     rows = words.select("skeleton", F.struct((-total()).alias("o"), F.col("word").alias("w")).alias("c"))
     lists = rows.groupBy("skeleton").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    return lists.where(F.size("cs") > 1).select("skeleton", F.size("cs").alias("words"), F.concat_ws(" ", "cs.w").alias("candidates"))
+    return lists.where(F.size("cs") > 1).select("skeleton", F.size("cs").cast("bigint").alias("words"), F.concat_ws(" ", "cs.w").alias("candidates"))
 
 
 def keyboard_whatif(words: DataFrame, ratios: tuple[float, ...] = (0.01, 0.05, 0.10)) -> DataFrame:

@@ -40,7 +40,7 @@ def token_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct surface form with its script, case, kind and canonical form."""
     forms = corpus.analysed(corpus.surfaces(table(spark, sf_dir, "documents")))
     s = F.col("surface")
-    return forms.select("surface", "n", tx.detect_script(F.lower(s)).alias("script"), "letter_case", tx.letter_count(s).alias("letters"), "kind", "canon")
+    return forms.select("surface", "n", tx.detect_script(F.lower(s)).alias("script"), "letter_case", tx.letter_count(s).cast("bigint").alias("letters"), "kind", "canon")
 
 
 def case_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def packed_order(spark, sf_dir):
 
     lite = _lite(spark, sf_dir)  # at most LITE rows
     order = Window.orderBy(tx.skeleton_key(F.col("word")), tx.utf8_order(F.col("word")))
-    return lite.select("word", (F.row_number().over(order) - 1).alias("id"))
+    return lite.select("word", (F.row_number().over(order).cast("bigint") - 1).alias("id"))
 
 
 def directed_bigrams(spark, sf_dir):
@@ -159,7 +159,7 @@ def spelling_variants(spark, sf_dir):
     """How many keyboard and partial variants each word has, and the first of each."""
     w = F.col("word")
     v = _words(spark, sf_dir).select("word", vr.keyboard_variants(w).alias("k"), vr.partial_variants(w).alias("p"))
-    return v.select("word", F.size("k").alias("keyboard"), F.get("k", F.lit(0)).alias("first_keyboard"), F.size("p").alias("partial"), F.get("p", F.lit(0)).alias("first_partial"))
+    return v.select("word", F.size("k").cast("bigint").alias("keyboard"), F.get("k", F.lit(0)).alias("first_keyboard"), F.size("p").cast("bigint").alias("partial"), F.get("p", F.lit(0)).alias("first_partial"))
 
 
 def keyboard_whatif(spark, sf_dir):
@@ -193,7 +193,7 @@ def prefix_completions(spark, sf_dir):
     from pyspark.sql import Window
 
     index = lx.prefixes(_lexicon(spark, sf_dir, False).select("word", "skeleton", lx.total().alias("total"))).where(F.length("prefix") <= 4)
-    ranked = index.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("total"), "word")))
+    ranked = index.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("total"), "word")).cast("bigint"))
     return ranked.where("rank <= 5").select("prefix", "rank", "word")
 
 
@@ -201,7 +201,7 @@ def next_word(spark, sf_dir):
     """The three most frequent successors of every word."""
     from pyspark.sql import Window
 
-    ranked = merged_bigrams(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("w1").orderBy(F.desc("count"), "w2")))
+    ranked = merged_bigrams(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("w1").orderBy(F.desc("count"), "w2")).cast("bigint"))
     return ranked.where("rank <= 3").select("w1", "rank", "w2", "count")
 
 

@@ -108,7 +108,19 @@ routed AS (SELECT *, CASE WHEN kind = 'inline_query' THEN CASE WHEN regexp_match
   WHEN coalesce(is_bot, false) OR from_id IS NULL OR chat_type IS NULL OR chat_type NOT IN ('private', 'group', 'supergroup') THEN 'ignored' WHEN grp AND NOT coalesce(regexp_matches(text, '(?i)@bitik_bot\\b'), false) THEN 'ignored'
   WHEN text IS NULL THEN 'non_text' WHEN len(list_filter(entities, lambda e: e."type" = 'bot_command' AND e."offset" = 0)) > 0 THEN CASE WHEN lower(regexp_extract(text, '^/\\w+@(\\w+)', 1)) IN ('', 'bitik_bot') THEN 'command' ELSE 'ignored' END
   WHEN regexp_matches(b, '\\p{L}') THEN 'text' ELSE 'no_letters' END AS route FROM bodies)"""
+
+
+def _fold(key: str, item: str, hits: str, limit: int, window: int) -> str:
+    """The limiter as a fold over each key's times in order: allowed times so far, and the flags."""
+    ok = f"len(list_filter(s.a, lambda y: y > x.a[1] - {window})) < {limit}"
+    step = f"lambda s, x: {{'a': CASE WHEN {ok} THEN s.a || x.a ELSE s.a END, 'f': s.f || [{ok}]}}"
+    return f"""lists AS (SELECT {key}, list(ms ORDER BY ms, {item}) AS ts, list({item} ORDER BY ms, {item}) AS ids FROM ({hits}) GROUP BY {key}),
+folded AS (SELECT {key}, ids, list_reduce(list_transform(ts, lambda t: {{'a': [t], 'f': [true]}}), {step}) AS r FROM lists), flags AS (SELECT unnest(ids) AS {item}, {key}, unnest(r.f) AS allowed FROM folded)"""
+
+
 ORACLE_SQL = {
+    "rate_limit": f"WITH {_ONCE}, " + _fold("from_id", "update_id", "SELECT from_id, update_id, epoch_us(sent_at) // 1000 AS ms FROM routed WHERE kind = 'message' AND route <> 'ignored'", up.LIMITS["message"], up.WINDOW_MS) + " SELECT * FROM flags",
+    "event_limit": "WITH " + _fold("user_id", "event_id", "SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events", 2, 36_000_000) + " SELECT allowed, count(*) AS events FROM flags GROUP BY allowed",
     "update_routes": f"WITH {_ONCE} SELECT update_id, route, CAST(length(CASE WHEN length(b) > 4096 THEN b[1:4000] ELSE b END) AS INT) AS body_length, coalesce(length(b) > 4096, false) AS is_cut FROM routed",
     "route_counters": f"WITH {_ONCE} SELECT strftime(sent_at AT TIME ZONE 'UTC', '%Y-%m-%d %H') AS hour, route, count(*) AS updates FROM routed GROUP BY 1, 2",
     "decayed_counts": f"WITH l AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ms, max(epoch_us(ts) // 1000) OVER (PARTITION BY user_id, event_type) AS last FROM events) SELECT user_id, event_type, round(sum(pow(2.0, -(last - ms) / {float(up.HALF_LIFE_MS)})), 4) AS \"count\" FROM l GROUP BY 1, 2",
