@@ -59,7 +59,7 @@ def lexicon_by_crawl(spark, sf_dir):
     return _lite(spark, sf_dir, "crawl").select("word", "rank", (F.col("news") + F.col("telegram")).alias("crawl"))
 
 
-PROTECTED = ("chertak", "qoyvor", "kelasizmi")
+PROTECTED = ("novvoyxona", "qoyvor", "kelasizmi")
 
 
 def protected_words(spark, sf_dir):
