@@ -193,16 +193,16 @@ def prefix_completions(spark, sf_dir):
     from pyspark.sql import Window
 
     index = lx.prefixes(_lexicon(spark, sf_dir, False).select("word", "skeleton", lx.total().alias("total"))).where(F.length("prefix") <= 4)
-    ranked = index.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("total"), "word")).cast("bigint"))
-    return ranked.where("rank <= 5").select("prefix", "rank", "word")
+    ranked = index.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("total"), "word")))
+    return ranked.where("rank <= 5").select("prefix", F.col("rank").cast("bigint").alias("rank"), "word")
 
 
 def next_word(spark, sf_dir):
     """The three most frequent successors of every word."""
     from pyspark.sql import Window
 
-    ranked = merged_bigrams(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("w1").orderBy(F.desc("count"), "w2")).cast("bigint"))
-    return ranked.where("rank <= 3").select("w1", "rank", "w2", "count")
+    ranked = merged_bigrams(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("w1").orderBy(F.desc("count"), "w2")))
+    return ranked.where("rank <= 3").select("w1", F.col("rank").cast("bigint").alias("rank"), "w2", "count")
 
 
 QUERIES = {
