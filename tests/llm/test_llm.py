@@ -102,6 +102,13 @@ def test_verdicts(spark, monkeypatch, broadcast_ranks):
     assert qu.prose_verdicts(df.limit(0)).count() == 0
 
 
+def test_verdicts_of_a_tag_that_is_mostly_copies(spark):
+    texts = [JUNK[0]] * 70 + [PROSE] * 30
+    df = spark.createDataFrame([(i, t, None, 0.0, "r", 1, "s") for i, t in enumerate(texts)], CRAWL)
+    got = {r["crawl_id"]: r["is_prose"] for r in qu.prose_verdicts(df).collect()}
+    assert [got[i] for i in range(100)] == [False] * 70 + [True] * 30
+
+
 # --- language --------------------------------------------------------------------------------------------
 
 SENTENCES = {
