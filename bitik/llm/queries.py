@@ -58,7 +58,8 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_leaks(spark, sf_dir).where("verbatim > 0").select("doc_id", "item_id").distinct()
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), templates=False)
+    return found.where("verbatim > 0").select("doc_id", "item_id").distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

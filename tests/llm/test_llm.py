@@ -242,6 +242,24 @@ def test_leaks(spark, broadcast_windows):
     assert le.leaks(docs(spark, []).limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_windows", [10**6, 0])
+def test_leaks_with_new_names_and_written_numbers(spark, broadcast_windows):
+    decimal = "Kuzda oʻqituvchi yosh bolalarga har kuni 12,5 kilo qiziq meva va 1 000 ta daftar berdi, chunki maktabda bor edi."
+    other = CONTEXT.replace("256", "31")
+    texts = [
+        other.replace("Komila Xinozoda", "Sardor Toʻlqinov"), CYR.replace("Комила Хинозода", "Сардор Тўлқинов").replace("256", "31"), other.lower(), other.replace("bolalarga", "qizlarga").replace("kitobni", "daftarni"),
+        decimal.replace("12,5", "7").replace("1 000", "90"), decimal.replace("12,5", "13,7").replace("1 000", "2 500"), CONTEXT.upper(),
+    ]
+    table = spark.createDataFrame([("a", CONTEXT), ("b", decimal)], "item_id string, context string")
+    got = {(r["doc_id"], r["item_id"]): (r["verbatim"] > 0, r["reparameterised"] > 0) for r in le.leaks(docs(spark, texts), table, broadcast_windows=broadcast_windows).collect()}
+    assert got == {(d, i): (d == 6, d != 6) for d, i in ((0, "a"), (1, "a"), (2, "a"), (4, "b"), (5, "b"), (6, "a"))}
+
+
+def test_marked_keys_are_the_word_keys():
+    texts = [CONTEXT, CYR, CONTEXT.upper(), "<P>San'At G‘Afur &AMP; ʼOybek 1 000,5 Sʼham</P> BMT \ue000x", "Aʻ'B‘C 3.5ta Ye tS"]
+    assert all(le.marked_keys(t)[0] == le.word_keys(t) for t in texts)
+
+
 # --- look-alikes -----------------------------------------------------------------------------------------
 
 SAME = [("kitob", "ki­tob"), ("ａｂｃ", "abc"), ("соя", "cоя"), ("şer", "şer"), ("a b", "a b"), ("o'zbek", "oʻzbek"), ("ﬁl", "fil"), ("a‐b", "a-b"), ("Ⅱ", "II"), ("qiș", "qiş"), ("ӯ", "ў"), ("a\r\nb", "a\nb"), ("ο", "о"), ("…", "...")]
