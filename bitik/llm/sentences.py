@@ -2,7 +2,8 @@
 
 Semi-Markov dynamic programming over the places of a paragraph where a sentence may end: the best way to cut
 the paragraph into whole spans is the one with the largest sum of span scores, and a span is scored jointly on
-its length, its opening words, its closing words and the balance of its quotation marks and brackets.
+its length, its opening words, its closing words and the balance of its quotation marks and brackets. No span
+border lies between a quotation mark or bracket and its partner, however long the quotation is.
 
 An empty line ends a sentence, a single line break does not. Scripts without letter case end sentences by
 their own marks, Thai by a blank.
@@ -13,6 +14,7 @@ Defined results: null, empty and blank texts have no sentences; equal texts have
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from bitik.session import spread
 
-#: The longest span, in places where it might have ended.
-LONGEST_SPAN = 48
+#: Score of words that close or open no sentence.
+NEVER = -9.0
 
 # Abbreviations after which a name or number follows, so that they end no sentence.
 BEFORE_NAME = frozenset(
@@ -47,7 +49,7 @@ _THAI_GAP = re.compile(r"(?<=[฀-๿])[\s​]+(?=\S)|(?<=\S)[\s​]+(?=[฀-๿
 _LAST_WORD = re.compile(r"[^\s.!?…«»“”„\"()\[\]—–-]+(?:[.-][^\s.!?…«»“”„\"()\[\]—–-]+)*$")
 _WIDE_MARK = set("。！？｡")
 _DASH = "—–―-"
-_OPENERS, _CLOSERS = {"«": "»", "„": "“", "(": ")", "[": "]", "「": "」", "『": "』", "“": "”"}, {"»", "“", "”", ")", "]", "」", "』"}
+_OPENERS = "«„([「『“"
 _REPORT = re.compile(r"^[^。！？，、「」]{1,10}(?:说|問|问|道|喊|叫|答|言いました|聞きました|言った)")
 _NUMERAL = re.compile(r"^(?:\d+(?:\.\d+)*|[IVXLCDM]+|[IVXLCDMІХ]+|[A-Za-zА-Яа-я])$")
 _QUOTES = re.compile(r"[«»„“”\"()\[\]「」『』]")
@@ -122,10 +124,10 @@ def _opening(text: str, start: int) -> float:
     rest = text[start : start + 40].lstrip()
     if not rest:
         return 0.0
-    head = rest.lstrip("".join(_OPENERS) + "\"'‘")
+    head = rest.lstrip(_OPENERS + "\"'‘")
     dashed = rest[0] in _DASH
     if dashed:
-        head = rest[1:].lstrip().lstrip("".join(_OPENERS) + "\"'‘")
+        head = rest[1:].lstrip().lstrip(_OPENERS + "\"'‘")
     if rest[0] == "と" or _REPORT.match(rest) and text[:start].rstrip()[-1:] in "」』”":
         return -9.0
     c = head[:1]
@@ -136,22 +138,30 @@ def _opening(text: str, start: int) -> float:
     return 1.0
 
 
-def _unbalanced(marks: str) -> int:
-    """Quotation marks and brackets of a span that have no partner in it."""
-    stack: list[str] = []
-    stray = 0
-    for c in marks:
-        if stack and c == stack[-1]:
-            stack.pop()
-        elif c == '"':
-            stack.append(c)
-        elif c == "“" and stack and stack[-1] == "”":
-            stray += 1
-        elif c in _OPENERS:
-            stack.append(_OPENERS[c])
-        elif c in _CLOSERS:
-            stray += 1
-    return stray + len(stack)
+#: Which marks each closing mark may be the partner of.
+_PARTNERS = {"»": "«", "“": "„", "”": "“„", ")": "(", "]": "[", "」": "「", "』": "『"}
+
+
+def _held(text: str) -> tuple[bytearray, list[int]]:
+    """For each character position, whether a border there would part a quotation mark or bracket from its partner;
+    and the places of straight marks whose partner is uncertain. Other marks without a partner count alike in every division."""
+    held = bytearray(len(text) + 1)
+    open_marks: list[tuple[str, int]] = []
+    loose = {m.start() for m in re.finditer('"', text)}
+    for m in _QUOTES.finditer(text):
+        c, at = m.group(), m.start()
+        before, after = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+        # a straight mark closes after a non-blank character and opens before one
+        partners = ('"' if before.strip() and before not in _OPENERS else "") if c == '"' else _PARTNERS.get(c, "")
+        k = next((k for k in range(len(open_marks) - 1, -1, -1) if open_marks[k][0] in partners), None) if partners else None
+        if k is not None:
+            start = open_marks[k][1]
+            held[start + 1 : at + 1] = b"\1" * (at - start)
+            loose -= {start, at}
+            del open_marks[k:]
+        elif c == '"' and (after.isalnum() or after and after in _OPENERS) or c != '"' and c in _OPENERS:
+            open_marks.append((c, at))
+    return held, sorted(loose)
 
 
 def _length(words: int) -> float:
@@ -167,28 +177,37 @@ def paragraph_spans(text: str) -> list[tuple[int, int]]:
     k = len(ends)
     if k == 1:
         return [(0, len(text))]
-    marks = [_QUOTES.findall(text, s, e) for s, e in zip(starts, ends)]
     counts = [max(1, len(text[s:e].split())) for s, e in zip(starts, ends)]
     wide = [bool(re.search(r"[぀-ヿ一-鿿฀-๿]", text[s:e])) for s, e in zip(starts, ends)]
     close = [_closing(text, e, text[n : n + 3]) for e, n in zip(ends[:-1], starts[1:])] + [0.0]
     opening = [0.0] + [_opening(text, s) for s in starts[1:]]
-    best, back = [0.0] + [float("-inf")] * k, [0] * (k + 1)
-    for j in range(1, k + 1):
-        seen: list[str] = []
-        words = 0
+    held, loose = _held(text)
+    # borders, as numbers of stretches before them
+    at = [0] + [j for j in range(1, k) if not held[ends[j - 1]] and close[j - 1] > NEVER and opening[j] > NEVER] + [k]
+    words_to = [0]
+    for n, w in zip(counts, wide):
+        words_to.append(words_to[-1] + n + 4 * w)
+    loose_to = [0] + [bisect_left(loose, e) for e in ends]
+    best, back = [0.0] + [float("-inf")] * (len(at) - 1), [0] * len(at)
+    reach = [0.0] * len(at)  # the most that a span opening at this border or an earlier one starts from
+    for b in range(1, len(at)):
+        j = at[b]
         bracketed = text[ends[j - 1] - 1 : ends[j - 1]] in ")]" and j < k
-        for i in range(j - 1, max(-1, j - 1 - LONGEST_SPAN), -1):
-            seen = marks[i] + seen
-            words += counts[i] + 4 * wide[i]
-            score = best[i] + opening[i] + close[j - 1] + _length(words) - 6.0 * _unbalanced("".join(seen))
+        for a in range(b - 1, -1, -1):
+            i = at[a]
+            words = words_to[j] - words_to[i]
+            if reach[a] + close[j - 1] + (_length(words) if words >= 3 else 0.0) <= best[b]:
+                break  # no longer span can be better
+            score = best[a] + opening[i] + close[j - 1] + _length(words) - 6.0 * ((loose_to[j] - loose_to[i]) % 2)
             if bracketed and text[starts[i]] not in "([":
                 score -= 4.0
-            if score > best[j]:
-                best[j], back[j] = score, i
-    out, j = [], k
-    while j:
-        out.append((starts[back[j]], ends[j - 1]))
-        j = back[j]
+            if score > best[b]:
+                best[b], back[b] = score, a
+        reach[b] = max(reach[b - 1], best[b] + (opening[j] if j < k else 0.0))
+    out, b = [], len(at) - 1
+    while b:
+        out.append((starts[at[back[b]]], ends[at[b] - 1]))
+        b = back[b]
     return out[::-1]
 
 

@@ -170,6 +170,21 @@ def test_sentence_spans(parts):
     assert [text[a:b] for a, b in se.sentence_spans(text)] == parts
 
 
+@pytest.mark.parametrize("opened, closed", ["«»", "„“", "“”", '""', "()"])
+@pytest.mark.parametrize("inner", [3, 5, 60])
+def test_long_quotations_are_one_sentence(opened, closed, inner):
+    said = opened + " ".join(["Kitob juda yaxshi keldi!"] * inner) + closed
+    parts = [f"{said} — dedi Zebo.", "Keyin u ketdi.", f"Ota {said} dedi.", "Ona ketdi."]
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in se.sentence_spans(text)] == parts
+
+
+def test_long_sentences_and_stray_marks():
+    parts = ["Uyda " + ", ".join(["A. B. Karimov"] * 80) + " bor edi.", "«Ota keldi.", "Ona ketdi.", "Besh yil oʻtdi."]
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in se.sentence_spans(text)] == parts
+
+
 def test_empty_lines_and_breaks():
     text = "Bosh soʻz\n \nOta uzoq\nyurdi. Ona\nkeldi\n\n\n  \nTamom."
     assert [text[a:b] for a, b in se.sentence_spans(text)] == ["Bosh soʻz", "Ota uzoq\nyurdi.", "Ona\nkeldi", "Tamom."]
@@ -187,6 +202,10 @@ def test_long_text_is_linear():
     assert len(se.sentence_spans(text)) == 5000
 
 
+def test_many_stray_marks_are_linear():
+    assert len(se.sentence_spans("«Ota keldi. " * 3000)) == 3000
+
+
 # --- packing ---------------------------------------------------------------------------------------------
 
 
