@@ -18,6 +18,8 @@ BOOK_MIN_RATIO = 0.01
 SHORT_WORDS = ("u", "o", "e", "a")
 CAPITALIZED_SHARE = 0.90
 BIGRAM_LOAD_MIN = 3
+#: Bytes of the published pairs.
+SIZE_CAP = 500_000_000
 
 
 def word_table(rows: DataFrame) -> DataFrame:
@@ -138,17 +140,17 @@ def adjacency(bigrams: DataFrame) -> DataFrame:
     return rows.groupBy("w1").agg(F.array_sort(F.collect_list("s")).alias("l")).select("w1", F.size("l").cast("bigint").alias("successors"), F.concat_ws(" ", "l.w").alias("words"))
 
 
-def size_cutoff(rows: DataFrame, columns: list[str], cap: int, lowest: int = 3, highest: int = 200) -> DataFrame:
-    """The least count at which the lines of all pairs with that count or more fit into `cap` bytes.
+def size_cutoff(rows: DataFrame, columns: list[str], cap: int = SIZE_CAP, lowest: int = 3) -> DataFrame:
+    """The least count, `lowest` or more, at which the lines of all pairs with that count or more fit into `cap` bytes.
 
-    Lines are summed by count first, so the running sum is over at most `highest` rows.
+    Lines are summed by count first, so the one window is over the distinct counts, at most the root of twice the sum of all counts.
     """
     line = sum((F.octet_length(c) for c in columns), F.octet_length(F.col("count").cast("string"))) + len(columns) + 1
-    by = rows.groupBy(F.least(F.col("count"), F.lit(highest)).alias("t")).agg(F.sum(line).alias("bytes"))
-    steps = F.explode(F.sequence(F.lit(lowest), F.lit(highest - 1)))
-    grid = by.sparkSession.range(1).select(steps.alias("cutoff"))
-    sums = grid.join(F.broadcast(by), F.col("t") >= F.col("cutoff"), "left").groupBy("cutoff").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
-    return sums.where(F.col("bytes") <= cap).agg(F.min("cutoff").cast("bigint").alias("cutoff"), F.max("bytes").alias("bytes"))
+    by = rows.where(F.col("count") >= lowest).groupBy("count").agg(F.sum(line).alias("bytes"))
+    sums = by.select("count", F.sum("bytes").over(Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"))
+    fits = F.col("bytes") <= cap
+    cutoff = F.coalesce(F.max(F.when(~fits, F.col("count"))) + 1, F.lit(lowest)).cast("bigint")
+    return sums.agg(cutoff.alias("cutoff"), F.coalesce(F.max(F.when(fits, F.col("bytes"))), F.lit(0)).cast("bigint").alias("bytes"))
 
 
 def suffix_chains(words: DataFrame, stem_min: int = 1000, word_min: int = 10, min_stems: int = 100) -> DataFrame:

@@ -50,6 +50,16 @@ def test_admission_rules(spark):
     assert {r["word"] for r in kept.where("protected AND admitted").collect()} == {"togri", "yangi"}
 
 
+@pytest.mark.parametrize("cap", [0, 9, 60, 200, 500, 10**9])
+def test_size_cutoff_on_every_input(spark, cap):
+    rows = [("olma", "nok", n) for n in (1, 2, 3, 3, 7, 150, 199, 200, 250, 250, 9000, 123456)]
+    bytes_at = {t: sum(len(a) + len(b) + len(str(n)) + 3 for a, b, n in rows if n >= t) for t in range(3, 123458)}
+    expected = min(t for t, size in bytes_at.items() if size <= cap)
+    df = spark.createDataFrame(rows, "w1 string, w2 string, count bigint")
+    assert tuple(lx.size_cutoff(df, ["w1", "w2"], cap).first()) == (expected, bytes_at[expected])
+    assert tuple(lx.size_cutoff(df.limit(0), ["w1", "w2"], cap).first()) == (3, 0)
+
+
 def brute_limit(times, limit, window):
     out, kept = [], []
     for t in times:
