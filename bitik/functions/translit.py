@@ -128,11 +128,6 @@ def new_to_cyrillic(word: Column) -> Column:
     return F.translate(F.replace(out, F.lit(""), F.lit("ъе")), "", "еёюя")
 
 
-def with_exceptions(word: Column, exception: Column) -> Column:
-    """The listed Cyrillic spelling of a word, or the rule's."""
-    return F.coalesce(exception, new_to_cyrillic(word))
-
-
 def apply_case(s: Column, pattern: Column) -> Column:
     """P18."""
     return F.when(pattern == "upper", F.upper(s)).when(pattern == "title", F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))).otherwise(s)
@@ -143,10 +138,10 @@ def canonical(low: Column, source: str) -> Column:
     return {"cyrillic": cyrillic_rule, "old": old_to_new, "new": literal}[source](low)
 
 
-def render(word: Column, script: str, pattern: Column) -> Column:
-    """A canonical word in an output script and letter case."""
+def render(word: Column, script: str, pattern: Column, exception: Column | None = None) -> Column:
+    """A canonical word in an output script and letter case; `exception` is its listed Cyrillic spelling, if any."""
     out = {"old": new_to_old, "cyrillic": new_to_cyrillic, "new": lambda w: w}[script](word)
-    return apply_case(out, pattern)
+    return apply_case(out if exception is None else F.coalesce(exception, out), pattern)
 
 
 def readings(options: Column, limit: int = READING_LIMIT) -> Column:
@@ -172,14 +167,6 @@ def skeleton_keys(token: Column, script: Column, recovery: bool = True, fuzzy_qk
     return F.array_sort(F.array_distinct(keys))
 
 
-def wide_key(key: Column) -> Column:
-    """One blocking key that all readings of a token share, so that candidates come from one equi-join."""
-    out = F.regexp_replace(F.translate(key, "uqh", "Okx"), "Sx+", "S")
-    return F.regexp_replace(out, "Gx+", "G")
-
-
-
-
 def rule_token(raw: Column, to: str, source: str = "old") -> Column:
     """P20: transliteration of one token without correction.
 

@@ -1,121 +1,101 @@
-"""How well a typed form agrees with a lexicon word of its skeleton, unit by unit."""
+"""How well a typed form agrees with a lexicon word of its skeleton, unit by unit.
 
-from __future__ import annotations
+A unit is a letter or a digraph with the apostrophes that belong to it. Form and word share a skeleton (or the
+word begins with it), so their units stand side by side and every pair of units is judged by a table: the typed
+unit shows the word's letter (1), leaves it open (0) or speaks against it (-1). An apostrophe beyond the letter
+shows the word's tutuq, or speaks against a word without one. Everything is a column expression: the units of a
+form are made once, those of a word once, and a pair costs one pass over two short arrays.
+
+Null input gives null; a form without letters has no units and the evidence 0.
+"""
 
-import itertools
-import re
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql import Column, functions as F
 
+from bitik.functions import text as tx, translit as tr
 from bitik.functions.alphabet import APOSTROPHES, TUTUQ
-from bitik.functions.text import CLASS_FROM, CLASS_TO
-from bitik.functions.translit import CYRILLIC, CYRILLIC_VOWELS, READING_LIMIT, RECOVERY
-
-MATCH, OPEN, AGAINST = 1, 0, -1
-_APOS = f"[{re.escape(APOSTROPHES)}]"
-_UNIT = re.compile(rf"([scg])({_APOS}*)h({_APOS}*)|([^{re.escape(APOSTROPHES)}])({_APOS}*)")
-_CLASS = dict(zip(CLASS_FROM, CLASS_TO, strict=True))
-# The spellings that write a marked letter out, and its bare letter.
-WRITTEN = {"ş": ("ş", "sh", "w"), "ç": ("ç", "ch"), "ö": ("ö", "ó", "ő"), "ğ": ("ğ", "gh", "ǵ")}
-BARE = {"ş": "s", "ç": "c", "ö": "o", "ğ": "g"}
-# What a Cyrillic letter says about the Latin letter it is read as.
-CYRILLIC_SAYS = {
-    ("ş", "ш"): MATCH, ("ş", "с"): AGAINST, ("ş", "ц"): AGAINST, ("s", "с"): MATCH, ("s", "ш"): AGAINST, ("ç", "ч"): MATCH, ("ö", "ў"): MATCH,
-    ("o", "ў"): AGAINST, ("ğ", "ғ"): MATCH, ("g", "ғ"): AGAINST, ("q", "қ"): MATCH, ("h", "ҳ"): MATCH,
-}
-
-
-def units(text: str, origins: list[str] | None = None) -> list[tuple[str, str, int, str]]:
-    """(symbol, spelling, apostrophes after it, Cyrillic origin) of each unit of a Latin string."""
-    out = []
-    for m in _UNIT.finditer(text):
-        if m.group(1):
-            origin = "" if origins is None else origins[m.start(1)] + origins[m.start(3) - 1]
-            out.append((m.group(1).upper(), m.group(1) + ("'h" if m.group(2) else "h"), len(m.group(3)), origin))
-        else:
-            origin = "" if origins is None else origins[m.start(4)]
-            out.append((_CLASS.get(m.group(4), m.group(4)), m.group(4), len(m.group(5)), origin))
-    return out
-
-
-def _latin(spelling: str, apostrophes: int, wanted: str, wanted_apostrophes: int) -> tuple[int, int]:
-    """Evidence of one Latin unit, and how many of its apostrophes it used up."""
-    if wanted in WRITTEN:
-        if spelling in WRITTEN[wanted]:
-            return MATCH, 0
-        if spelling != BARE[wanted]:
-            return AGAINST, 0
-        return (MATCH, 1) if wanted in "öğ" and apostrophes else (OPEN, 0)
-    if wanted in ("sh", "ch", "gh"):
-        return (MATCH if spelling == f"{wanted[0]}'h" else OPEN if spelling == wanted else AGAINST), 0
-    if wanted in "scog":
-        if spelling != wanted:
-            return AGAINST, 0
-        return (AGAINST, 1) if wanted in "og" and apostrophes and not wanted_apostrophes else (OPEN, 0)
-    return OPEN, 0
-
-
-def _cyrillic(origin: str, wanted: str) -> int:
-    if wanted in ("sh", "gh"):
-        head = "с" if wanted == "sh" else "г"
-        return AGAINST if len(origin) < 2 or origin[0] != head else MATCH if origin[1] == "ҳ" else OPEN
-    return CYRILLIC_SAYS.get((wanted, origin[:1]), OPEN)
-
-
-def compare(typed: list[tuple[str, str, int, str]], word: str, cyrillic: bool, prefix: bool = False) -> tuple[int, int] | None:
-    """(sum, least) of the evidence of all units; None if the units do not align."""
-    wanted = units(word)
-    if len(typed) > len(wanted) or (len(typed) < len(wanted) and not prefix):
-        return None
-    total = least = 0
-    for (symbol, spelling, apostrophes, origin), (symbol2, spelling2, apostrophes2, _) in zip(typed, wanted):
-        if symbol != symbol2:
-            return None
-        e, used = (_cyrillic(origin, spelling2), 0) if cyrillic else _latin(spelling, apostrophes, spelling2, apostrophes2)
-        t = 0 if apostrophes <= used else MATCH if apostrophes2 else AGAINST
-        total, least = total + e + t, min(least, e, t)
-    return total, least
-
-
-def cyrillic_readings(low: str, recovery: bool = True) -> list[tuple[str, list[str]]]:
-    """Latin readings of a Cyrillic form, each with the Cyrillic letter behind every character."""
-    choices = []
-    for i, c in enumerate(low):
-        before, after = low[i - 1 : i], low[i + 1 : i + 2]
-        mark = c == "ъ" or c in APOSTROPHES
-        if c == "е":
-            one = "ye" if not before or before in CYRILLIC_VOWELS + "ъь" + APOSTROPHES else "e"
-        elif c == "ц":
-            one = "ts" if before and before in CYRILLIC_VOWELS else "s"
-        elif mark:
-            one = "" if after and after in "еёюя" else TUTUQ
-        elif c == "ь":
-            one = "y" if after == "о" else ""
-        else:
-            one = CYRILLIC.get(c, c)
-        choices.append(RECOVERY[c] if recovery and c in RECOVERY else (one,))
-    n = 1
-    for c in choices:
-        n *= len(c)
-    if n > READING_LIMIT:
-        choices = [c[:1] for c in choices]
-    return [("".join(p), [o for s, o in zip(p, low) for _ in s]) for p in itertools.product(*choices)]
-
-
-def best(low: str, cyrillic: bool, word: str, prefix: bool = False, recovery: bool = True) -> tuple[int, int] | None:
-    """The strongest evidence of any reading of a form for a word."""
-    readings = cyrillic_readings(low, recovery) if cyrillic else [(low, None)]
-    found = [e for text, origins in readings if (e := compare(units(text, origins), word, cyrillic, prefix)) is not None]
-    return max(found, default=None, key=lambda e: e[0])
-
-
-SCHEMA = StructType([StructField("sum", IntegerType()), StructField("min", IntegerType())])
-
-
-@F.pandas_udf(SCHEMA)
-def evidence(low: pd.Series, cyrillic: pd.Series, word: pd.Series, prefix: pd.Series) -> pd.DataFrame:
-    """Struct of sum and min; both null if form and word do not align."""
-    rows = [best(a, b, c, d) or (None, None) for a, b, c, d in zip(low, cyrillic, word, prefix, strict=True)]
-    return pd.DataFrame(rows, columns=["sum", "min"], dtype="Int32")
+
+# For each unit of a word the typed units that show it; s'h is a divided pair, o+ a letter with its own mark.
+SHOWN = {"ş": "ş sh w", "ç": "ç ch", "ö": "ö ó ő o+", "ğ": "ğ gh ǵ g+", "sh": "s'h", "ch": "c'h", "gh": "g'h"}
+# The typed units that leave it open; all others speak against it.
+OPEN = {"ş": "s", "ç": "c", "ö": "o", "ğ": "g", "sh": "sh", "ch": "ch", "gh": "gh", "s": "s", "c": "c", "o": "o", "g": "g"}
+# The same for the Cyrillic letters behind a unit; a letter in neither table leaves it open.
+CYRILLIC_SHOWN = {"ş": "ш", "s": "с", "ç": "ч", "ö": "ў", "ğ": "ғ", "q": "қ", "h": "ҳ", "sh": "сҳ", "gh": "гҳ"}
+CYRILLIC_AGAINST = {"ş": "с ц", "s": "ш", "o": "ў", "g": "ғ", "sh": "с ш ц цҳ цх", "gh": "г ғ"}
+
+UNITS = "array<struct<key:string,units:array<string>>>"
+
+
+def _pairs(table: dict[str, str]) -> list[str]:
+    return [f"{word}>{typed}" for word, all_typed in table.items() for typed in all_typed.split()]
+
+
+def _steps(pieces: Column, *steps: tuple[str, str]) -> Column:
+    def one(p: Column) -> Column:
+        for pattern, to in steps:
+            p = F.regexp_replace(p, pattern, to)
+        return p
+
+    return F.transform(pieces, one)
+
+
+_INNER, _OUTER = ("'+h", "'h"), ("'+$", TUTUQ)
+
+
+def _pieces(text: Column) -> Column:
+    plain = F.translate(text, APOSTROPHES, "'" * len(APOSTROPHES))
+    return F.regexp_extract_all(plain, F.lit("[scg]'*h'*|[^']'*"), F.lit(0))
+
+
+def word_units(word: Column) -> Column:
+    """The units of a canonical word; a tutuq stays at the end of its unit."""
+    return _steps(_pieces(word), _INNER, _OUTER)
+
+
+def latin_units(low: Column) -> Column:
+    """The units of a lower-case Latin form; the first apostrophe after o and g is their own mark."""
+    return _steps(_pieces(low), ("^([og])'(?!'*h)", "$1+"), _INNER, _OUTER)
+
+
+def cyrillic_readings(low: Column, recovery: bool = True) -> Column:
+    """Key and units of every reading of a Cyrillic form; its units are the Cyrillic letters they are read from."""
+    letters = F.split(low, "")
+    # every Latin letter carries the Cyrillic one behind it, so that readings can be cut into units of both
+    tagged = F.transform(tr.cyrillic_options(low, recovery), lambda options, i: F.transform(options, lambda o: F.regexp_replace(o, F.lit("(.)"), F.concat(F.lit("$1"), F.get(letters, i)))))
+    pair = F.lit(f"(?:{TUTUQ}.)+|[scg].(?:{TUTUQ}.)*h.(?:{TUTUQ}.)*|.{{2}}(?:{TUTUQ}.)*")
+
+    def one(reading: Column) -> Column:
+        pieces = F.filter(F.regexp_extract_all(reading, pair, F.lit(0)), lambda p: ~F.startswith(p, F.lit(TUTUQ)))
+        units = _steps(pieces, (f"^(?:[scg](.)(?:{TUTUQ}.)*h|.)(.)({TUTUQ}?).*$", "$1$2$3"))
+        return F.struct(tx.skeleton_key(F.regexp_replace(reading, "(.).", "$1")).alias("key"), units.alias("units"))
+
+    return F.transform(tr.readings(tagged), one)
+
+
+def readings(low: Column, cyrillic: Column, recovery: bool = True) -> Column:
+    """Skeleton and units of every reading of a form: one of a Latin form, several of a Cyrillic one."""
+    latin = F.array(F.struct(tx.skeleton_key(low).alias("key"), latin_units(low).alias("units")))
+    return F.when(cyrillic, cyrillic_readings(low, recovery)).otherwise(latin).cast(UNITS)
+
+
+def _judge(word: Column, typed: Column, cyrillic: Column) -> Column:
+    """Evidence of the letter and of the tutuq of one pair of units."""
+    letter, mark = F.rtrim(word, F.lit(TUTUQ)), F.endswith(word, F.lit(TUTUQ))
+    form, rest = F.rtrim(typed, F.lit(TUTUQ)), F.endswith(typed, F.lit(TUTUQ))
+    own = mark & (form == F.concat(letter, F.lit("+")))  # read as the word's tutuq
+    rest = rest | own | (F.endswith(form, F.lit("+")) & (F.length(letter) > 1))  # a pair has no mark of its own
+    pair = F.concat_ws(">", letter, form)
+    latin = F.when(pair.isin(_pairs(SHOWN)), 1).when(own | pair.isin(_pairs(OPEN)), 0).when(letter.isin(list(OPEN)), -1).otherwise(0)
+    pair = F.concat_ws(">", letter, F.when(F.length(letter) == 1, F.substring(form, 1, 1)).otherwise(form))
+    cyr = F.when(pair.isin(_pairs(CYRILLIC_SHOWN)), 1).when(pair.isin(_pairs(CYRILLIC_AGAINST)), -1).otherwise(0)
+    tutuq = F.when(rest, F.when(mark, 1).otherwise(-1)).otherwise(0)
+    return F.struct(F.when(cyrillic, cyr).otherwise(latin).alias("letter"), tutuq.alias("tutuq"))
+
+
+def evidence(typed: Column, word: Column, cyrillic: Column) -> Column:
+    """Struct of sum and min over the typed units beside the word's first units."""
+    judged = F.transform(typed, lambda t, i: _judge(F.get(word, i), t, cyrillic))
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("min"))
+    add = lambda a, j: F.struct((a["sum"] + j["letter"] + j["tutuq"]).alias("sum"), F.least(a["min"], j["letter"], j["tutuq"]).alias("min"))
+    return F.aggregate(judged, start, add)
