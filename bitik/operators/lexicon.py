@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bitik.functions import text as tx
 from bitik.functions.alphabet import APOSTROPHES, TUTUQ
+from bitik.operators import skew
+from bitik.session import materialise
 
 COUNTS = ("books", "news", "telegram", "title", "lower")
 MIN_COUNT = 2
@@ -87,12 +89,7 @@ def order_columns(by: str) -> list[Column]:
 
 def build(words: DataFrame, size: int, by: str = "total") -> DataFrame:
     """The first `size` words by rank; protected words displace the tail. `size` bounds the one window at the end."""
-    top = words.orderBy(*order_columns(by)).limit(size)
-    missing = words.where("protected").join(top, "word", "left_anti")
-    forced = words.where("protected").select("word", F.lit(True).alias("forced"))
-    both = top.unionByName(missing).join(F.broadcast(forced), "word", "left")
-    first = F.row_number().over(Window.orderBy(F.col("forced").desc_nulls_last(), *order_columns(by)))
-    kept = both.withColumn("r", first).where(F.col("r") <= size).drop("r", "forced")
+    kept = words.orderBy(F.desc("protected"), *order_columns(by)).limit(size)
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order_columns(by))).cast("bigint") - 1)
 
 
@@ -110,19 +107,23 @@ def packed(words: DataFrame) -> DataFrame:
 
 
 def bigram_table(rows: DataFrame) -> DataFrame:
-    """Directed pairs with their counts from the delivered rows; a delivery counts once."""
+    """Directed pairs with their counts from the delivered rows; a delivery counts once, a row without a delivery number always."""
     word = lambda c: F.translate(F.lower(F.trim(F.col(c))), APOSTROPHES, TUTUQ * len(APOSTROPHES))
     valid = rows.select("row_id", word("w1").alias("w1"), word("w2").alias("w2"), F.col("count").cast("bigint").alias("count")).where("w1 <> '' AND w2 <> '' AND count >= 1")
-    once = valid.groupBy("row_id").agg(F.min(F.struct("w1", "w2", "count")).alias("r")).select("r.*")
-    return once.groupBy("w1", "w2").agg(F.sum("count").alias("count"))
+    once = valid.where("row_id IS NOT NULL").groupBy("row_id").agg(F.min(F.struct("w1", "w2", "count")).alias("r")).select("r.*")
+    return once.unionByName(valid.where("row_id IS NULL").drop("row_id")).groupBy("w1", "w2").agg(F.sum("count").alias("count"))
 
 
 def merged_bigrams(bigrams: DataFrame, admitted: DataFrame, least: int = BIGRAM_LOAD_MIN) -> DataFrame:
-    """Pairs with both sides mapped to admitted words; pairs outside the lexicon fall out."""
+    """Pairs with both sides mapped to admitted words; pairs outside the lexicon fall out.
+
+    A word with a large share of all pairs meets its mapping in a broadcast of bounded size, see `skew`.
+    """
     names = admitted.where("admitted OR merged_into IS NOT NULL").select("word", F.coalesce("merged_into", "word").alias("to"))
-    out = bigrams.where(F.col("count") >= least)
+    out = materialise(bigrams.where(F.col("count") >= least))
+    hot = skew.hot_keys(out, "w1", "w2")
     for side in ("w1", "w2"):
-        out = out.join(names.withColumnsRenamed({"word": side, "to": f"{side}_to"}), side).drop(side).withColumnRenamed(f"{side}_to", side)
+        out = skew.lookup(out, side, names.withColumnRenamed("word", "key"), hot).where("to IS NOT NULL").drop(side).withColumnRenamed("to", side)
     return out.groupBy("w1", "w2").agg(F.sum("count").alias("count"))
 
 
@@ -135,9 +136,37 @@ def build_bigrams(bigrams: DataFrame, words: DataFrame, size: int) -> DataFrame:
 
 
 def adjacency(bigrams: DataFrame) -> DataFrame:
-    """AR2: for each word its successors, most frequent first, as one text."""
-    rows = bigrams.select("w1", F.struct((-F.col("count")).alias("o"), F.col("w2").alias("w")).alias("s"))
-    return rows.groupBy("w1").agg(F.array_sort(F.collect_list("s")).alias("l")).select("w1", F.size("l").cast("bigint").alias("successors"), F.concat_ws(" ", "l.w").alias("words"))
+    """AR2: every pair with its place in the list of all successors: by word, most frequent first, then by spelling.
+
+    The list is sorted over range partitions and numbered in them, so a word with very many successors may
+    lie in several; `offsets` are the places where the words begin.
+    """
+    return skew.positions(bigrams.select("w1", "w2", "count"), "w1", F.desc("count"), "w2")
+
+
+def offsets(adjacent: DataFrame) -> DataFrame:
+    """AR2: for each word the place of its first successor and their number."""
+    return adjacent.groupBy("w1").agg(F.min("pos").alias("first_pos"), F.count("*").alias("successors"))
+
+
+def size_grid(words: DataFrame, bigrams: DataFrame, word_steps: list[int], pair_steps: list[int], budget: int) -> DataFrame:
+    """T4: estimated bytes of every build of a grid, whether it fits into `budget`, and the chosen one: the most words, then the most pairs.
+
+    words: word, rank; bigrams: count, w1_rank, w2_rank. Counts and bytes are combined by step of the grid first:
+    a pair belongs to the first word step that holds both its words, so one pass serves all word steps; a pair
+    is six bytes, a word its letters and four bytes, as in the packed tables.
+    """
+    step = lambda rank: F.element_at(F.filter(F.array(*[F.lit(n) for n in word_steps]), lambda n: n > rank), 1)
+    sizes = words.select(step(F.col("rank")).alias("words"), (F.octet_length("word") + 4).alias("bytes")).where("words IS NOT NULL").groupBy("words").agg(F.sum("bytes").alias("bytes"))
+    pairs = bigrams.select(step(F.greatest("w1_rank", "w2_rank")).alias("words")).where("words IS NOT NULL").groupBy("words").agg(F.count("*").alias("pairs"))
+    spark = words.sparkSession
+    grid = spark.createDataFrame([(n,) for n in word_steps], "words int")
+    upto = Window.orderBy("words").rowsBetween(Window.unboundedPreceding, 0)  # one row a step
+    sums = grid.join(sizes, "words", "left").join(pairs, "words", "left").select("words", F.sum(F.coalesce("bytes", F.lit(0))).over(upto).alias("word_bytes"), F.sum(F.coalesce("pairs", F.lit(0))).over(upto).alias("all_pairs"))
+    cells = sums.select("*", F.explode(F.array(*[F.lit(n) for n in pair_steps])).alias("pairs")).select("words", "pairs", (F.col("word_bytes") + 6 * F.least("pairs", "all_pairs")).cast("bigint").alias("bytes"))
+    fits = cells.withColumn("fits", F.col("bytes") <= budget)
+    best = F.max(F.when(F.col("fits"), F.struct("words", "pairs"))).over(Window.partitionBy())
+    return fits.withColumn("chosen", F.coalesce(F.struct("words", "pairs") == best, F.lit(False)))
 
 
 def size_cutoff(rows: DataFrame, columns: list[str], cap: int = SIZE_CAP, lowest: int = 3) -> DataFrame:

@@ -89,7 +89,8 @@ def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.word_pairs(table(spark, sf_dir, "documents"), None, 2)
 
 
-VOCABULARY = 500
+#: Words of the provisional vocabulary.
+VOCABULARY = (1 << 21) - 1
 
 
 def vocabulary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

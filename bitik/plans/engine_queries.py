@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bitik.functions import text as tx
-from bitik.operators import correct, lexicon as lx
+from bitik.operators import correct, lexicon as lx, updates as up
 from bitik.plans import lexicon_queries as lq
 from bitik.session import materialise, table
 
@@ -23,14 +23,14 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def autocorrect(spark, sf_dir):
     """Q1, Q14: every message corrected in new Latin."""
-    texts = table(spark, sf_dir, "updates").where("kind = 'message'").select(F.col("update_id").alias("id"), "text").dropDuplicates(["id"])
+    texts = up.once(table(spark, sf_dir, "updates")).where("kind = 'message'").select(F.col("update_id").alias("id"), "text")
     return correct.autocorrect(texts, *_parts(spark, sf_dir))
 
 
 def suggest(spark, sf_dir):
     """Suggestions for the last, unfinished word of every inline query."""
     words = F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
-    asked = table(spark, sf_dir, "updates").where("kind = 'inline_query'").dropDuplicates(["update_id"])
+    asked = up.once(table(spark, sf_dir, "updates")).where("kind = 'inline_query'")
     ends_blank = F.coalesce(F.col("text").rlike(r"\s$"), F.lit(False))
     buffer = F.when(ends_blank, F.lit("")).otherwise(F.element_at(words, -1))
     prev = F.when(ends_blank, F.element_at(words, -1)).otherwise(F.try_element_at(words, F.lit(-2)))

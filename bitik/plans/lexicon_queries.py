@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bitik.functions import text as tx, translit as tr
@@ -9,7 +11,11 @@ from bitik.operators import corpus, lexicon as lx, variants as vr
 from bitik.plans import corpus_queries as cq, sql as q
 from bitik.session import materialise, table
 
-LITE, TOP_BIGRAMS, CAP_BYTES, MIN_STEMS = 100, 1000, 20_000, 4
+#: Words and pairs of the smallest build, stems of a suffix, and the sizes the published pairs may have.
+LITE, TOP_BIGRAMS, MIN_STEMS = 50_000, 200_000, 4
+CAPS = (10_000, 100_000, 1_000_000, lx.SIZE_CAP)
+#: Steps and bytes of the build grid.
+WORD_STEPS, PAIR_STEPS, BUDGET = [50, 100, 200, 1_000, 10_000, 50_000, 400_000], [1_000, 10_000, 200_000, 2_000_000], 30_000
 
 
 def _words(spark: SparkSession, sf_dir: str, corpus_too: bool = False) -> DataFrame:
@@ -65,7 +71,7 @@ PROTECTED = ("novvoyxona", "qoyvor", "kelasizmi")
 def protected_words(spark, sf_dir):
     """Protected words enter a build whatever their count."""
     listed = spark.createDataFrame([(w,) for w in PROTECTED], "word string")
-    return lx.build(lx.merged_counts(lx.admission(_words(spark, sf_dir), listed)), 50).select("word", "rank", "protected")
+    return lx.build(lx.merged_counts(lx.admission(_words(spark, sf_dir), listed)), LITE).select("word", "rank", "protected")
 
 
 def lexicon_diff(spark, sf_dir):
@@ -103,8 +109,23 @@ def bigram_adjacency(spark, sf_dir):
     return lx.adjacency(merged_bigrams(spark, sf_dir))
 
 
+def adjacency_offsets(spark, sf_dir):
+    return lx.offsets(bigram_adjacency(spark, sf_dir))
+
+
 def size_cutoff(spark, sf_dir):
-    return lx.size_cutoff(merged_bigrams(spark, sf_dir), ["w1", "w2"], CAP_BYTES)
+    """A15 at the production size and at smaller ones."""
+    pairs = materialise(merged_bigrams(spark, sf_dir))
+    found = [lx.size_cutoff(pairs, ["w1", "w2"], cap).select(F.lit(cap).cast("bigint").alias("cap"), "*") for cap in CAPS]
+    return reduce(DataFrame.unionByName, found)
+
+
+def size_grid(spark, sf_dir):
+    """T4: builds of several sizes against a byte budget."""
+    words = materialise(lx.build(_merged(spark, sf_dir), WORD_STEPS[-1]))
+    ranks = words.select("word", "rank")
+    pairs = lx.build_bigrams(merged_bigrams(spark, sf_dir), ranks, PAIR_STEPS[-1])
+    return lx.size_grid(ranks, pairs, WORD_STEPS, PAIR_STEPS, BUDGET)
 
 
 def suffix_chains(spark, sf_dir):
@@ -189,10 +210,10 @@ def veto_whatif(spark, sf_dir):
 
 
 def prefix_completions(spark, sf_dir):
-    """The five most frequent words of every skeleton prefix of up to four letters."""
+    """The five most frequent words of every skeleton prefix."""
     from pyspark.sql import Window
 
-    index = lx.prefixes(_lexicon(spark, sf_dir, False).select("word", "skeleton", lx.total().alias("total"))).where(F.length("prefix") <= 4)
+    index = lx.prefixes(_lexicon(spark, sf_dir, False).select("word", "skeleton", lx.total().alias("total")))
     ranked = index.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("total"), "word")))
     return ranked.where("rank <= 5").select("prefix", F.col("rank").cast("bigint").alias("rank"), "word")
 
@@ -208,7 +229,7 @@ def next_word(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        admission, rejections, merged_counts, lexicon_topk, lexicon_by_crawl, protected_words, lexicon_diff, quantised, packed_order, directed_bigrams, merged_bigrams, lexicon_bigrams, bigram_adjacency, size_cutoff,
+        admission, rejections, merged_counts, lexicon_topk, lexicon_by_crawl, protected_words, lexicon_diff, quantised, packed_order, directed_bigrams, merged_bigrams, lexicon_bigrams, bigram_adjacency, adjacency_offsets, size_cutoff, size_grid,
         suffix_chains, heldout_subtraction, coverage, transliterations, round_trips, stripped_variants, partial_mark_forms, ambiguity_groups, spelling_variants, keyboard_whatif, spelling_cost, risk_forms, veto_whatif, prefix_completions, next_word,
     )
 }
@@ -238,7 +259,7 @@ _RANKS = f"""{_ADM}, ranked AS (SELECT *, row_number() OVER (ORDER BY books + ne
 lite AS (SELECT * FROM ranked WHERE rank < {LITE})"""
 _DIRECTED = f"""valid AS (SELECT row_id, translate(lower(trim(w1)), '{q._APOS}', 'ʼʼʼʼʼʼʼʼʼʼ') AS w1, translate(lower(trim(w2)), '{q._APOS}', 'ʼʼʼʼʼʼʼʼʼʼ') AS w2, CAST("count" AS BIGINT) AS c FROM bigrams),
 once AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY w1, w2, c) AS r FROM valid WHERE w1 <> '' AND w2 <> '' AND c >= 1),
-directed AS (SELECT w1, w2, CAST(sum(c) AS BIGINT) AS "count" FROM once WHERE r = 1 GROUP BY w1, w2),
+directed AS (SELECT w1, w2, CAST(sum(c) AS BIGINT) AS "count" FROM once WHERE r = 1 OR row_id IS NULL GROUP BY w1, w2),
 pairs AS (SELECT coalesce(a.merged_into, a.word) AS w1, coalesce(b.merged_into, b.word) AS w2, CAST(sum("count") AS BIGINT) AS "count" FROM directed d
   JOIN adm a ON a.word = d.w1 JOIN adm b ON b.word = d.w2 WHERE "count" >= 3 AND (a.admitted OR a.merged_into IS NOT NULL) AND (b.admitted OR b.merged_into IS NOT NULL) GROUP BY 1, 2)"""
 _CHAINS = f"""chains AS (SELECT suffix, count(*) AS stems FROM (SELECT word[1:i] AS stem, word[i + 1:] AS suffix FROM (SELECT word, unnest(range(1, length(word))) AS i FROM merged WHERE books + news + telegram >= 5))
@@ -270,7 +291,7 @@ ORACLE_SQL = {
     "lexicon_topk": f"{_RANKS} SELECT word, rank, books + news + telegram AS total FROM lite",
     "lexicon_by_crawl": f"{_RANKS} SELECT word, crawl_rank AS rank, news + telegram AS crawl FROM ranked WHERE crawl_rank < {LITE}",
     "protected_words": f"""WITH {_WORDS}, extra AS (SELECT * FROM words UNION ALL SELECT w, 0, 0, 0, 0, 0 FROM (SELECT unnest({list(PROTECTED)}) AS w) WHERE w NOT IN (SELECT word FROM words)), {_admit('extra', str(list(PROTECTED))[1:-1])},
-      r AS (SELECT *, row_number() OVER (ORDER BY books + news + telegram DESC, word) AS r FROM merged), kept AS (SELECT * FROM r WHERE protected UNION ALL SELECT * FROM (SELECT * FROM r WHERE NOT protected ORDER BY r LIMIT 50 - (SELECT count(*) FROM r WHERE protected)))
+      r AS (SELECT *, row_number() OVER (ORDER BY books + news + telegram DESC, word) AS r FROM merged), kept AS (SELECT * FROM r WHERE protected UNION ALL SELECT * FROM (SELECT * FROM r WHERE NOT protected ORDER BY r LIMIT {LITE} - (SELECT count(*) FROM r WHERE protected)))
       SELECT word, row_number() OVER (ORDER BY r) - 1 AS rank, protected FROM kept""",
     "lexicon_diff": f"{_RANKS} SELECT word, CASE WHEN rank >= {LITE} THEN 'gained' ELSE 'lost' END AS change FROM ranked WHERE (rank < {LITE}) <> (crawl_rank < {LITE})",
     "quantised": f"""{_LEX}, scale AS (SELECT max(total) AS a, max(telegram) AS b FROM lex) SELECT word, skeleton,
@@ -280,8 +301,13 @@ ORACLE_SQL = {
     "directed_bigrams": f"{_ADM}, {_DIRECTED} SELECT * FROM directed",
     "merged_bigrams": f"{_ADM}, {_DIRECTED} SELECT * FROM pairs",
     "lexicon_bigrams": f'{_RANKS}, {_DIRECTED} SELECT w1, w2, "count", a.rank AS w1_rank, b.rank AS w2_rank FROM pairs JOIN lite a ON a.word = w1 JOIN lite b ON b.word = w2 ORDER BY "count" DESC, a.rank, b.rank LIMIT {TOP_BIGRAMS}',
-    "bigram_adjacency": f"{_ADM}, {_DIRECTED} SELECT w1, count(*) AS successors, string_agg(w2, ' ' ORDER BY \"count\" DESC, w2) AS words FROM pairs GROUP BY w1",
-    "size_cutoff": f"{_ADM}, {_DIRECTED}, grid AS (SELECT unnest(range(3, 200)) AS cutoff), sums AS (SELECT cutoff, coalesce((SELECT sum(strlen(w1) + strlen(w2) + strlen(CAST(\"count\" AS VARCHAR)) + 3) FROM pairs WHERE \"count\" >= cutoff), 0) AS bytes FROM grid) SELECT min(cutoff) AS cutoff, CAST(max(bytes) AS BIGINT) AS bytes FROM sums WHERE bytes <= {CAP_BYTES}",
+    "bigram_adjacency": f'{_ADM}, {_DIRECTED} SELECT w1, w2, "count", row_number() OVER (ORDER BY w1, "count" DESC, w2) - 1 AS pos FROM pairs',
+    "adjacency_offsets": f'{_ADM}, {_DIRECTED}, n AS (SELECT w1, count(*) AS n FROM pairs GROUP BY w1) SELECT w1, CAST(coalesce(sum(n) OVER (ORDER BY w1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_pos, n AS successors FROM n',
+    "size_cutoff": f"{_ADM}, {_DIRECTED}, caps AS (SELECT unnest({list(CAPS)}) AS cap), grid AS (SELECT 3 AS t UNION SELECT \"count\" + 1 FROM pairs WHERE \"count\" >= 3), sums AS (SELECT t, coalesce((SELECT sum(strlen(w1) + strlen(w2) + strlen(CAST(\"count\" AS VARCHAR)) + 3) FROM pairs WHERE \"count\" >= t), 0) AS bytes FROM grid) SELECT CAST(cap AS BIGINT) AS cap, CAST(min(t) AS BIGINT) AS cutoff, CAST(max(bytes) AS BIGINT) AS bytes FROM caps JOIN sums ON bytes <= cap GROUP BY cap",
+    "size_grid": f"""{_RANKS}, {_DIRECTED}, w AS (SELECT unnest({WORD_STEPS}) AS words), p AS (SELECT unnest({PAIR_STEPS}) AS pairs), r AS (SELECT word, rank FROM ranked WHERE rank < {WORD_STEPS[-1]}),
+      j AS (SELECT greatest(a.rank, b.rank) AS top FROM pairs JOIN r a ON a.word = w1 JOIN r b ON b.word = w2),
+      c AS (SELECT CAST(w.words AS INT) AS words, CAST(p.pairs AS INT) AS pairs, CAST(coalesce((SELECT sum(strlen(word) + 4) FROM r WHERE rank < w.words), 0) + 6 * least(p.pairs, (SELECT count(*) FROM j WHERE top < w.words)) AS BIGINT) AS bytes FROM w, p)
+      SELECT *, bytes <= {BUDGET} AS fits, coalesce((words, pairs) = (SELECT (words, pairs) FROM c WHERE bytes <= {BUDGET} ORDER BY words DESC, pairs DESC LIMIT 1), false) AS chosen FROM c""",
     "suffix_chains": f"{_FULL}, {_CHAINS} SELECT * FROM chains",
     "heldout_subtraction": f"""WITH {_WORDS}, {_HELD}, h AS (SELECT word, sum(n) FILTER (register = 'news') AS a, sum(n) FILTER (register = 'telegram') AS b, sum(n) FILTER (letter_case = 'title') AS t, sum(n) FILTER (letter_case = 'lower') AS l FROM held GROUP BY word),
       out AS (SELECT word, books, CAST(greatest(0, news - coalesce(a, 0)) AS BIGINT) AS news, CAST(greatest(0, telegram - coalesce(b, 0)) AS BIGINT) AS telegram, CAST(greatest(0, title - coalesce(t, 0)) AS BIGINT) AS title, CAST(greatest(0, lower - coalesce(l, 0)) AS BIGINT) AS lower FROM words LEFT JOIN h USING (word)) SELECT * FROM out WHERE books + news + telegram >= 2""",
@@ -296,6 +322,6 @@ ORACLE_SQL = {
     "spelling_variants": f"WITH {_WORDS}, v AS (SELECT word, {_KEYBOARD} AS k, {_PARTIAL} AS p FROM words) SELECT word, len(k) AS keyboard, k[1] AS first_keyboard, len(p) AS partial, p[1] AS first_partial FROM v",
     "keyboard_whatif": f"{_FULL_LEX}, v AS (SELECT word, books, total, unnest({_KEYBOARD}) AS v FROM lex), best AS (SELECT v.word, v.books, v.total, max(l.books) AS best FROM v JOIN lex l ON l.word = v.v GROUP BY 1, 2, 3), r AS (SELECT unnest([0.01, 0.05, 0.10]) AS ratio) SELECT CAST(ratio AS DOUBLE) AS ratio, count(*) AS forms, CAST(sum(total) AS BIGINT) AS mass FROM best, r WHERE best > 0 AND books / best < ratio GROUP BY 1",
     "spelling_cost": _COST,
-    "prefix_completions": f"{_LEX}, p AS (SELECT skeleton[1:i] AS prefix, word, row_number() OVER (PARTITION BY skeleton[1:i] ORDER BY total DESC, word) AS rank FROM (SELECT *, unnest(range(1, least(4, length(skeleton)) + 1)) AS i FROM lex)) SELECT prefix, rank, word FROM p WHERE rank <= 5",
+    "prefix_completions": f"{_LEX}, p AS (SELECT skeleton[1:i] AS prefix, word, row_number() OVER (PARTITION BY skeleton[1:i] ORDER BY total DESC, word) AS rank FROM (SELECT *, unnest(range(1, length(skeleton) + 1)) AS i FROM lex)) SELECT prefix, rank, word FROM p WHERE rank <= 5",
     "next_word": f'{_ADM}, {_DIRECTED}, r AS (SELECT *, row_number() OVER (PARTITION BY w1 ORDER BY "count" DESC, w2) AS rank FROM pairs) SELECT w1, rank, w2, "count" FROM r WHERE rank <= 3',
 }

@@ -48,7 +48,7 @@ def user_words(spark, sf_dir):
     """The user model of every chat user from their texts."""
     texts = _routed(spark, sf_dir).where("route = 'text'").select("from_id", "sent_at", F.col("body").alias("text"), "update_id")
     words = corpus.analysed(corpus.tokens(texts, "from_id", "update_id", "sent_at")).where("kind = 'word'").select("from_id", F.col("canon").alias("word"), F.unix_millis("sent_at").alias("ms"))
-    return up.user_model(words, 50).select("from_id", "word", F.round("count", 4).alias("count"))
+    return up.user_model(words).select("from_id", "word", F.round("count", 4).alias("count"))
 
 
 def delivery_latency(spark, sf_dir):
@@ -127,7 +127,7 @@ ORACLE_SQL = {
     "user_words": f"""WITH {_ONCE}, {q.tokens('(SELECT from_id, update_id, sent_at, b AS text FROM routed WHERE route = ' + "'text'" + ')', 'from_id, update_id, sent_at')}, {q.analysed()},
       w AS (SELECT from_id, canon AS word, epoch_us(sent_at) // 1000 AS ms FROM toks JOIN forms USING (surface) WHERE canon IS NOT NULL), l AS (SELECT *, max(ms) OVER (PARTITION BY from_id, word) AS last, max(ms) OVER (PARTITION BY from_id) AS now FROM w),
       c AS (SELECT from_id, word, last, now, sum(pow(2.0, -(last - ms) / {float(up.HALF_LIFE_MS)})) AS c FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY c * pow(2.0, -(now - last) / {float(up.HALF_LIFE_MS)}) DESC, word) AS r FROM c)
-      SELECT from_id, word, round(c, 4) AS "count" FROM r WHERE r <= 50""",
+      SELECT from_id, word, round(c, 4) AS "count" FROM r WHERE r <= {up.MAX_WORDS}""",
     "delivery_latency": f"WITH {_ONCE} SELECT kind, quantile_disc(us, 0.5) AS p50, quantile_disc(us, 0.95) AS p95, quantile_disc(us, 0.99) AS p99, max(us) AS max FROM (SELECT kind, epoch_us(received_at) - epoch_us(sent_at) AS us FROM once) WHERE us IS NOT NULL GROUP BY kind",
     "eval_items": "SELECT item_id, md5(concat_ws(chr(10), context, question, array_to_string(list_transform(options, lambda o, i: ['A', 'B', 'C', 'D'][i] || ') ' || o), chr(10)))) AS prompt, regexp_extract(question, '\"([^\"]+)\"', 1) AS quoted, CAST(len(list_distinct(options)) AS INT) AS distinct_options, array_to_string(list_filter(options, lambda o, i: list_position(options, o) = i)[1:3], '|') AS first_three FROM eval_items",
     "eval_scores": f"WITH g AS (SELECT category, options, answer, lower(translate(regexp_extract(question, '\"([^\"]+)\"', 1), '{q.FOLD_FROM}', '{q.FOLD_TO}')) AS low FROM eval_items WHERE answer IS NOT NULL) SELECT category, CAST(grouping(category) AS INT) AS is_total, count(*) AS items, count(*) FILTER (list_position(options, CASE WHEN {q.script('low')} = 'cyrillic' THEN {q.cyrillic_rule('low')} ELSE {q.old_to_new('low')} END) - 1 = answer) AS correct FROM g GROUP BY ROLLUP (category)",

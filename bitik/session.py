@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -33,26 +34,39 @@ _OWN_FOLDER: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset, as in tests on one machine, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="bitik-shared-"))
-    return _OWN_FOLDER[0]
+    """This application's folder under spark.checkpoint.dir; only on a local master, as in tests, a temporary one where that is unset.
+
+    On a cluster a temporary folder would be another one on every machine, so a missing setting is an error there.
+    """
+    conf = spark.sparkContext.getConf()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="bitik-shared-"))
+            atexit.register(shutil.rmtree, _OWN_FOLDER[0], ignore_errors=True)
+        folder = _OWN_FOLDER[0]
+    return f"{folder.rstrip('/')}/bitik-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` once as a parquet table in the shared folder and read it back.
 
     Cuts the lineage for plans that use a result several times. The files are compressed columns, outlive
-    any executor, and stay until the folder is cleaned.
+    any executor, and stay until `clean`, since a result that reads them may still be unread.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete every intermediate table this application wrote; call it when its results have been read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for CPU-heavy row work even if the scan has fewer splits than the cluster has cores.
 
