@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def test_exact_ranks_are_the_empirical_distribution(spark):
 
 @pytest.mark.parametrize("broadcast_ranks", [10**6, 0])
 def test_verdicts(spark, monkeypatch, broadcast_ranks):
-    monkeypatch.setattr(qu.outlier_scores, "__defaults__", (qu.STATS, broadcast_ranks))
+    monkeypatch.setattr(qu.tails, "__defaults__", (broadcast_ranks,))
     texts = [PROSE] * 40 + JUNK + [None, "", "  "]
     df = spark.createDataFrame([(i, t, "uz" if i % 3 else None, 0.0, "r", 1, "s") for i, t in enumerate(texts)], CRAWL)
     got = {r["crawl_id"]: r["is_prose"] for r in qu.prose_verdicts(df).collect()}
@@ -109,6 +110,22 @@ def test_verdicts_of_a_tag_that_is_mostly_copies(spark):
     assert [got[i] for i in range(100)] == [False] * 70 + [True] * 30
 
 
+def test_the_score_decides(spark):
+    """Texts below the bound are prose whatever their share; the score separates most texts on its own."""
+    rows = qu.prose_verdicts(spark.read.parquet("/root/testdata/sf0.01/uz_crawl.parquet")).where("score IS NOT NULL").collect()
+    cases = [r for r in rows if r["sentence_share"] < 0.5]
+    assert sum(r["is_outlier"] for r in cases) >= 0.99 * len(cases)
+    assert sum(r["is_outlier"] for r in rows) <= 0.6 * len(rows)
+    assert all(r["is_prose"] for r in rows if not r["is_outlier"])
+
+
+def test_weights_follow_the_labels():
+    x = np.array([[0.1, 2.0], [0.2, 0.1], [3.0, 1.0], [2.5, 0.3]])
+    w = qu.fit_weights(x, np.array([0.0, 0.0, 1.0, 1.0]))
+    assert ((w[0] + x @ w[1:] > 0) == [False, False, True, True]).all()
+    assert not qu.fit_weights(x, np.ones(4)).any()
+
+
 # --- language --------------------------------------------------------------------------------------------
 
 SENTENCES = {
