@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bitik.functions.alphabet import APOSTROPHES, TUTUQ
+from bitik.operators import skew
 from bitik.session import materialise
 
 HOT_SHARE = 1000
@@ -40,14 +41,23 @@ def ordered_pairs(rows: DataFrame) -> DataFrame:
     return once.unionByName(valid.where("row_id IS NULL").select("w1", "w2", "n"))
 
 
+#: Items of a basket that one task of the join holds beside all others of the basket.
+BASKET_PART = 1000
+
+
 def basket_pairs(rows: DataFrame, basket: str, item: str) -> DataFrame:
     """Ordered pairs of the distinct items of each basket, one row a basket and pair, as w1 < w2, n.
 
-    Items are spread by an equi-join on the basket, never gathered into one list.
+    Items are spread by an equi-join on the basket, never gathered into one list. A large basket is cut into parts of about
+    BASKET_PART items by a hash of the item, and each part meets the whole basket in tasks of its own. Rows with a
+    null basket or item are left out; a repeated item counts once in a basket.
     """
-    items = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).dropna().distinct()
-    other = items.withColumnRenamed("item", "other")
-    return items.join(other, "basket").where("item < other").select(F.col("item").alias("w1"), F.col("other").alias("w2"), F.lit(1).cast("bigint").alias("n"))
+    items = materialise(rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).dropna().distinct())
+    large = items.groupBy("basket").agg(F.ceil(F.count("*") / BASKET_PART).cast("int").alias("parts")).where("parts > 1")
+    cut = items.join(large, "basket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = cut.select("basket", "item", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int").alias("part"))
+    right = cut.select("basket", F.col("item").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["basket", "part"]).where("item < other").select(F.col("item").alias("w1"), F.col("other").alias("w2"), F.lit(1).cast("bigint").alias("n"))
 
 
 def association(pairs: DataFrame, min_count: int = 1, min_lift: float | None = None) -> DataFrame:
@@ -61,15 +71,10 @@ def association(pairs: DataFrame, min_count: int = 1, min_lift: float | None = N
     margins = materialise(margins)
     both_sides = margins.agg(F.sum("n").alias("n"), F.sum("partners").alias("partners")).first()
     total, links = F.lit((both_sides["n"] or 0) // 2), F.lit((both_sides["partners"] or 0) // 2)
-    hot = F.broadcast(margins.where(F.col("partners") * HOT_SHARE >= links).select("w", F.col("n").alias("hot_n")))
-    cold = margins.select("w", "n")
+    hot = margins.where(F.col("partners") * HOT_SHARE >= links).select(F.col("w").alias("key"))
     out = counts.where(F.col("count") >= min_count)
     for side in ("w1", "w2"):
-        out = out.join(hot, F.col(side) == F.col("w"), "left").drop("w").withColumnRenamed("hot_n", f"{side}_hot")
-        # pairs of a hot word need no partner here; an unmatched key of their own spreads them evenly
-        key = F.when(F.col(f"{side}_hot").isNull(), F.col(side)).otherwise(F.concat(F.lit(" "), F.pmod(F.xxhash64("w1", "w2"), F.lit(4096)).cast("string")))
-        out = out.withColumn("key", key).join(cold.withColumnsRenamed({"w": "key", "n": f"{side}_cold"}), "key", "left").drop("key")
-        out = out.withColumn(f"{side}_n", F.coalesce(f"{side}_hot", f"{side}_cold")).drop(f"{side}_hot", f"{side}_cold")
+        out = skew.lookup(out, side, margins.select(F.col("w").alias("key"), F.col("n").alias(f"{side}_n")), hot)
     lift = F.col("count") * total / (F.col("w1_n").cast("double") * F.col("w2_n"))
     out = out.select("w1", "w2", "count", lift.alias("lift")).withColumn("pmi", F.log2("lift"))
     return out.where(F.col("lift") >= min_lift) if min_lift is not None else out

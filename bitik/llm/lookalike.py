@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bitik.functions.alphabet import APOSTROPHES, FOLD_FROM, FOLD_TO, TUTUQ
 from bitik.llm.charmap import CharMap
+from bitik.operators import skew
 from bitik.session import materialise, spread
 
 # Unicode's default-ignorable code points, as ranges.
@@ -130,22 +131,32 @@ def canonical_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 SALTS = 16
 
 
+def look_alike_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", casefold: bool = False) -> DataFrame:
+    """One row a document whose text has a look-alike: id, class_id, stored_id, n_links.
+
+    Documents of one class look the same, those of one stored_id are equal as stored; both are the first 128 bits of a
+    hash, as hexadecimal text. n_links is the number of documents that look the same but are stored differently. With
+    `casefold` letter case makes no difference either. Counts of members are taken by (form, raw) before any join, so
+    a class with a third of all documents is one row until its size is joined back to its members.
+    """
+    prints = materialise(fingerprints(df, id_col, text_col, casefold))
+    stored = materialise(prints.groupBy("form", "raw").agg(F.count("*").alias("n")))
+    forms = stored.groupBy("form").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("kinds > 1").select("form", "total")
+    links = stored.join(forms, "form").select(F.hex("raw").alias("key"), F.hex("form").alias("class_id"), (F.col("total") - F.col("n")).alias("n_links"))
+    members = prints.select("id", F.hex("raw").alias("stored_id"))
+    found = skew.lookup(members, "stored_id", links, skew.hot_keys(members, "stored_id")).where("class_id IS NOT NULL")
+    return found.select(F.col("id").alias(id_col), "class_id", "stored_id", "n_links")
+
+
 def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs (a < b) of ids whose texts differ as stored but have the same canonical form.
 
-    Stored texts are first reduced to classes (form, raw); a form with one class, however many copies it
-    has, yields nothing and joins nothing. Classes pair with classes, and only the members of paired
-    classes are expanded, in salted parts, because every pair of members is asked for. Rows with a null id
-    or text are left out; equal ids never pair with themselves.
+    The pairs are expanded from the classes of `look_alike_classes`, because every pair of members is asked for; members
+    meet in salted parts. Rows with a null id or text are left out; equal ids never pair with themselves.
     """
-    prints = materialise(fingerprints(df, id_col, text_col))  # read by every join below
-    classes = prints.groupBy("form", "raw").agg(F.lit(1).alias("one")).select("form", "raw")
-    several = classes.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    twins = classes.join(several, "form", "left_semi")
-    pairs = twins.select("form", F.col("raw").alias("raw_a")).join(twins.select("form", F.col("raw").alias("raw_b")), "form").where("raw_a < raw_b")
+    members = materialise(look_alike_classes(df, id_col, text_col).select(F.col(id_col).alias("id"), "class_id", "stored_id"))
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    members = prints.select("raw", "id", salt.alias("salt"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    left = pairs.withColumn("salt", salts).join(members.withColumnsRenamed({"raw": "raw_a", "id": "id_a"}), ["raw_a", "salt"]).drop("salt")
-    both = left.withColumn("salt", salts).join(members.withColumnsRenamed({"raw": "raw_b", "id": "id_b"}), ["raw_b", "salt"])
-    return both.where("id_a <> id_b").select(F.least("id_a", "id_b").alias(f"{id_col}_a"), F.greatest("id_a", "id_b").alias(f"{id_col}_b")).distinct()
+    left = members.select("class_id", salt.alias("salt"), F.col("id").alias("id_a"), F.col("stored_id").alias("stored_a"))
+    right = members.select("class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("id").alias("id_b"), F.col("stored_id").alias("stored_b"))
+    both = left.join(right, ["class_id", "salt"]).where("stored_a <> stored_b AND id_a < id_b")
+    return both.select(F.col("id_a").alias(f"{id_col}_a"), F.col("id_b").alias(f"{id_col}_b")).distinct()

@@ -23,6 +23,12 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("w1", "w2", "count", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 
+def p1_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that stand together in orders: the pairs of two orders or more."""
+    pairs = cooccurrence.basket_pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    return cooccurrence.association(pairs, 2).select("w1", "w2", "count", F.round("lift", 6).alias("lift"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.prose_verdicts(table(spark, sf_dir, "uz_crawl")).where("NOT is_prose").select("crawl_id").distinct()
 
@@ -66,12 +72,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p6_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items with a window that differs in numbers, names or units alone."""
+    return p6_leaks(spark, sf_dir).where("reparameterised > 0").select("doc_id", "item_id", "reparameterised")
+
+
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.look_alike_classes(table(spark, sf_dir, "documents"))
+
+
+def p7_caseless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of texts that are the same after full case folding too."""
+    return lookalike.look_alike_classes(table(spark, sf_dir, "documents"), casefold=True)
+
+
 def p7_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical_table(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_statistics, p3_found, p3_segments, p4_found, p4_sentences, p5_packing, p6_found, p6_leaks, p7_found, p7_canonical)
+    f.__name__: f for f in (p1_found, p1_pairs, p1_baskets, p2_found, p2_statistics, p3_found, p3_segments, p4_found, p4_sentences, p5_packing, p6_found, p6_leaks, p6_reparameterised, p7_found, p7_classes, p7_caseless, p7_canonical)
 }
 
 _PAIRS = """
@@ -89,7 +109,15 @@ scored AS (
   FROM pairs JOIN margins a ON a.w = w1 JOIN margins b ON b.w = w2)
 """
 
+_BASKETS = """
+WITH items AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS i FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL),
+pairs AS (SELECT a.i AS w1, b.i AS w2, count(*) AS c FROM items a JOIN items b ON a.k = b.k AND a.i < b.i GROUP BY 1, 2),
+margins AS (SELECT w, sum(c) AS n FROM (SELECT w1 AS w, c FROM pairs UNION ALL SELECT w2, c FROM pairs) GROUP BY w)
+SELECT w1, w2, c AS "count", round(CAST(c AS DOUBLE) * (SELECT CAST(sum(c) AS DOUBLE) FROM pairs) / (CAST(a.n AS DOUBLE) * CAST(b.n AS DOUBLE)), 6) AS lift
+FROM pairs JOIN margins a ON a.w = w1 JOIN margins b ON b.w = w2 WHERE c >= 2"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p1_baskets": _BASKETS,
     "p1_found": _PAIRS + f"SELECT w1, w2 FROM scored WHERE c >= {MIN_COUNT} AND lift >= {MIN_LIFT}",
     "p1_pairs": _PAIRS + 'SELECT w1, w2, c AS "count", round(lift, 6) AS lift, round(log2(lift), 6) AS pmi FROM scored',
 }

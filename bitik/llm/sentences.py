@@ -54,6 +54,8 @@ _REPORT = re.compile(r"^[^。！？，、「」]{1,10}(?:说|問|问|道|喊|叫
 _NUMERAL = re.compile(r"^(?:\d+(?:\.\d+)*|[IVXLCDM]+|[IVXLCDMІХ]+|[A-Za-zА-Яа-я])$")
 _QUOTES = re.compile(r"[«»„“”\"()\[\]「」『』]")
 _PARAGRAPH = re.compile(r"\S(?:[^\n]|\n(?![^\S\n]*(?:\n|$)))*")
+_WHOLE_WORD = re.compile(r"[^\W\d_]+(?:['`´‘’ʻʼʽʿ′-][^\W\d_]+)*['`´‘’ʻʼʽʿ′]?")
+_BLANKS = re.compile(r"\s*")
 _INITIALS = re.compile(r"(?:(?:[SC]h|[GO][ʻ‘’'`´ʼ]|[^\W\d_])\.?)+")
 
 
@@ -71,7 +73,7 @@ def _places(text: str) -> list[int]:
             word = _LAST_WORD.search(text, max(0, m.start() - 40), m.start())
             follows = re.match(r"[—–]?\s?[«„“\"(]?[^\W\d_]{2,}", text[end : end + 12])
             inner = after in "«„(" or after.isupper() or after in _DASH
-            if word and len(word.group()) >= 3 and word.group().isalpha() is not None and inner and follows and text[m.start() - 1].islower() and re.search(r"[^\W\d_]", follows.group())[0].isupper():
+            if word and len(word.group()) >= 3 and _WHOLE_WORD.fullmatch(word.group()) and inner and follows and text[m.start() - 1].islower() and re.search(r"[^\W\d_]", follows.group())[0].isupper():
                 ends.add(end)
     for m in _THAI_GAP.finditer(text):
         ends.add(m.start())
@@ -128,7 +130,7 @@ def _opening(text: str, start: int) -> float:
     dashed = rest[0] in _DASH
     if dashed:
         head = rest[1:].lstrip().lstrip(_OPENERS + "\"'‘")
-    if rest[0] == "と" or _REPORT.match(rest) and text[:start].rstrip()[-1:] in "」』”":
+    if rest[0] == "と" or _REPORT.match(rest) and text[max(0, start - 40) : start].rstrip()[-1:] in "」』”":
         return -9.0
     c = head[:1]
     if not c or c in ",;:)" or c.islower():
@@ -171,9 +173,7 @@ def _length(words: int) -> float:
 def paragraph_spans(text: str) -> list[tuple[int, int]]:
     """The best division of one paragraph into whole sentence spans, as (start, end)."""
     ends = _places(text)
-    starts = [0]
-    for e in ends[:-1]:
-        starts.append(e + len(text[e:]) - len(text[e:].lstrip()) if text[e : e + 1].isspace() else e)
+    starts = [0] + [_BLANKS.match(text, e).end() for e in ends[:-1]]
     k = len(ends)
     if k == 1:
         return [(0, len(text))]
