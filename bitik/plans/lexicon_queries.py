@@ -284,7 +284,19 @@ cand AS (SELECT doc_class, c.word, "count" AS n, l.total FROM (SELECT *, {q.key(
   UNION ALL SELECT doc_class, c.word, n, l.total FROM (SELECT doc_class, word, "count" AS n, unnest({_LAYOUT}) AS v FROM cls WHERE doc_class = 'cyr_ru_layout') c JOIN lex l ON l.word = c.v),
 best AS (SELECT doc_class, word, n, max(total) AS best FROM cand GROUP BY 1, 2, 3)
 SELECT doc_class, CAST(coalesce(sum(n) FILTER (best >= 10 * total), 0) AS BIGINT) AS blocked, CAST(coalesce(sum(n) FILTER (total IS NULL), 0) AS BIGINT) AS corrected FROM best LEFT JOIN lex USING (word) GROUP BY 1"""
+# the corpus of the lexicon is all documents, that of the informal forms those of one register
+_RISK = f"""{_FULL_LEX}, tele AS (SELECT surface, canon, count(*) AS n FROM full_toks WHERE register = 'telegram' AND canon IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
+unknown AS (SELECT *, lower(translate(surface, '{q.FOLD_FROM}', '{q.FOLD_TO}')) AS low, {q.script('lower(surface)')} = 'cyrillic' AS cyr FROM tele WHERE canon NOT IN (SELECT word FROM lex)),
+keys AS (SELECT DISTINCT surface, {q.key('r')} AS skeleton FROM (SELECT surface, unnest(CASE WHEN cyr THEN {q.readings('low')} ELSE [low] END) AS r FROM unknown)),
+ranked AS (SELECT surface, word, row_number() OVER (PARTITION BY surface ORDER BY total DESC, word) AS r FROM (SELECT DISTINCT surface, word, total FROM keys JOIN lex USING (skeleton))),
+risk AS (SELECT u.surface, canon, n, cyr, coalesce(hits, '') AS hits FROM unknown u LEFT JOIN (SELECT surface, string_agg(word, ' ' ORDER BY r) AS hits FROM ranked WHERE r <= 3 GROUP BY surface) USING (surface))"""
+_VETO = f"""{_RISK}, two AS (SELECT *, replace(canon, 'ʼ', '') AS r, replace(hit, 'ʼ', '') AS c FROM (SELECT *, string_split(hits, ' ')[1] AS hit FROM risk WHERE hits <> '')),
+flags AS (SELECT n, length(r) = length(c) AND (len(list_filter(range(1, length(r) + 1), lambda i: (regexp_matches(r[i:i], '[şçöğ]') AND translate(r[i:i], 'şçöğ', 'scog') = c[i:i]) OR (cyr AND r[i:i] = 's' AND c[i:i] = 'ş'))) > 0
+  OR length(canon) - length(r) > length(hit) - length(c)) AS vetoed FROM two)
+SELECT vetoed, count(*) AS forms, CAST(sum(n) AS BIGINT) AS tokens FROM flags GROUP BY vetoed"""
 ORACLE_SQL = {
+    "risk_forms": f"{_RISK} SELECT surface, n, hits FROM risk",
+    "veto_whatif": _VETO,
     "admission": f"{_FULL} SELECT word, skeleton, admitted, reason, merged_into FROM adm",
     "rejections": f"{_FULL} SELECT reason, count(*) AS forms, count(merged_into) AS merged, CAST(sum(books + news + telegram) AS BIGINT) AS mass, CAST(coalesce(sum(books + news + telegram) FILTER (merged_into IS NOT NULL), 0) AS BIGINT) AS merged_mass FROM adm WHERE NOT admitted GROUP BY reason",
     "merged_counts": f"{_FULL} SELECT word, books, news, telegram, title, lower FROM merged",

@@ -5,15 +5,17 @@ The rules are stated here a second time, in another way than in the column funct
 
 from __future__ import annotations
 
+import unicodedata
+
 from bitik.functions.alphabet import APOSTROPHES, FOLD_FROM, FOLD_TO
+from bitik.functions.text import TLDS
 from bitik.functions.translit import ACCENTED, BASE, CYRILLIC, FOREIGN, LATIN_FROM, LATIN_TO
 
 A = "[''`´‘’ʻʼʽʿ′]"
 L = r"[\p{Lu}\p{Ll}\p{Lt}\p{Lo}\p{M}]"
 D = r"[\p{Nd}\p{No}_]"
 SPACE = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-_TLDS = "uz|com|ru|org|net|io|me|info|tv|gov|edu|app|dev|ai|co|su|kz|tj|kg|tm|tr|de|uk|us|biz|pro|online|site|xyz"
-ANCHOR = rf"(?i)://|(?:^|[^\p{{L}}\p{{N}}_])www\.|[@#][\p{{L}}\p{{N}}_]|\.(?:{_TLDS})(?:[^\p{{L}}\p{{N}}_]|$)"
+ANCHOR = rf"(?i)://|(?:^|[^\p{{L}}\p{{N}}_])www\.|[@#][\p{{L}}\p{{N}}_]|\.(?:{TLDS})(?:[^\p{{L}}\p{{N}}_]|$)"
 _APOS = APOSTROPHES.replace("'", "''")
 _TEN = "ʼ" * 10
 
@@ -70,21 +72,34 @@ def _chars(x: str) -> str:
     return f"regexp_extract_all({x}, '(?s:.)')"
 
 
-def cyrillic_to_new(x: str) -> str:
-    chars, vowels = _chars(x), "аеёиоуэюяў"
+def _latin_letter(chars: str) -> str:
+    """The Latin spelling of letter c at place i of a list of Cyrillic letters."""
+    vowels = "аеёиоуэюяў"
     one, two = [(k, v) for k, v in CYRILLIC.items() if len(v) == 1], [(k, v) for k, v in CYRILLIC.items() if len(v) > 1]
     prev, nxt = f"({chars})[i - 1]", f"({chars})[i + 1]"
     return (
-        f"array_to_string(list_transform({chars}, lambda c, i: CASE "
-        f"WHEN c = 'е' THEN CASE WHEN i = 1 OR regexp_matches({prev}, '[{vowels}ъь]|{A}') THEN 'ye' ELSE 'e' END "
+        f"CASE WHEN c = 'е' THEN CASE WHEN i = 1 OR regexp_matches({prev}, '[{vowels}ъь]|{A}') THEN 'ye' ELSE 'e' END "
         f"WHEN c = 'ц' THEN CASE WHEN i > 1 AND regexp_matches({prev}, '[{vowels}]') THEN 'ts' ELSE 's' END "
         f"WHEN c = 'ъ' OR regexp_matches(c, '{A}') THEN CASE WHEN regexp_matches(coalesce({nxt}, ''), '[еёюя]') THEN '' ELSE 'ʼ' END "
         f"WHEN c = 'ь' THEN CASE WHEN {nxt} = 'о' THEN 'y' ELSE '' END "
         + " ".join(f"WHEN c = '{k}' THEN '{v}'" for k, v in two)
-        + f" ELSE translate(c, '{''.join(k for k, _ in one)}', '{''.join(v for _, v in one)}') END), '')"
+        + f" ELSE translate(c, '{''.join(k for k, _ in one)}', '{''.join(v for _, v in one)}') END"
     )
 
 
+def cyrillic_to_new(x: str) -> str:
+    chars = _chars(x)
+    return f"array_to_string(list_transform({chars}, lambda c, i: {_latin_letter(chars)}), '')"
+
+
+def readings(x: str) -> str:
+    """All readings of a Cyrillic form typed on a Russian keyboard; only the first of each letter if they are too many."""
+    chars = _chars(x)
+    pair = " ".join(f"WHEN c = '{c}' THEN ['{a}'] || CASE WHEN length(regexp_replace({x}, '[^укх]', '', 'g')) <= 12 THEN ['{b}'] ELSE [] END" for c, a, b in (("у", "u", "ö"), ("к", "k", "q"), ("х", "x", "h")))
+    options = f"list_transform({chars}, lambda c, i: CASE {pair} ELSE [{_latin_letter(chars)}] END)"
+    return f"list_reduce({options}, lambda a, o: flatten(list_transform(a, lambda p: list_transform(o, lambda y: p || y))))"
+
+
 def cyrillic_rule(x: str) -> str:
     out = cyrillic_to_new(x)
     for k, v in FOREIGN.items():
@@ -142,3 +157,35 @@ toks AS (SELECT {keys}, sent, row_number() OVER (PARTITION BY {keys}, sent ORDER
 def analysed() -> str:
     """Continues tokens(): forms(surface, canon, letter_case) of the distinct surfaces."""
     return f"forms AS (SELECT surface, {case_pattern('surface')} AS letter_case, {canonical_form('surface')} AS canon FROM (SELECT DISTINCT surface FROM toks WHERE surface IS NOT NULL))"
+
+
+def _class(category: str, cyrillic: bool) -> str:
+    """All letters of a category inside or outside the Cyrillic block, as a class of ranges."""
+    codes = [c for c in range(0x30000) if unicodedata.category(chr(c)) == category and (0x400 <= c <= 0x52F) == cyrillic]
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def ruled(source: str) -> str:
+    """Common table expressions from `source` (surface) up to ruled(surface, new, old, cyrillic): every form by the rules alone."""
+    cyr, lat, rest = r"[\x{400}-\x{52f}]", "[a-zÀ-ɏḀ-ỿ]", r"(?:[^\p{L}]|[ʻʼʽʿ])"
+    pieces = "|".join(f"(?:{c}{rest}*)+" for c in (_class("Ll", True), _class("Lu", True), _class("Ll", False), _class("Lu", False))) + f"|{rest}+"
+    low_other = r"regexp_replace(low, '[\x{400}-\x{52f}A-Za-zÀ-ɏḀ-ỿʻʼʽʿ]', '', 'g')"
+    shown = {"new": "canon", "old": new_to_old("canon"), "cyrillic": new_to_cyrillic("canon")}
+    stays = {"new": "NOT c", "old": "false", "cyrillic": "NOT l"}
+    cased = {to: f"CASE WHEN NOT (c OR l) OR ({stays[to]}) THEN s WHEN pat = 'upper' THEN upper({x}) WHEN pat = 'title' THEN upper(({x})[1:1]) || ({x})[2:] ELSE {x} END" for to, x in shown.items()}
+    folded = f"translate(lower({{}}), '{_APOS}', '{chr(8217) * 10}')"
+    final = ", ".join(f"CASE WHEN other OR NOT (c OR l) OR ({stays[to]}) OR {folded.format(to)} = {folded.format('low')} THEN surface ELSE {to} END AS {to}" for to in shown)
+    return f"""
+r0 AS (SELECT DISTINCT surface, translate(surface, '{FOLD_FROM}', '{FOLD_TO}') AS text FROM {source} WHERE surface IS NOT NULL),
+r1 AS (SELECT *, regexp_matches(low, '{cyr}') AS c, regexp_matches(low, '{lat}') AS l, regexp_matches({low_other}, '\\p{{L}}') AS other, regexp_extract_all(text, '{pieces}') AS ps FROM (SELECT *, lower(text) AS low FROM r0)),
+r2 AS (SELECT surface, CASE WHEN ({case_pattern('surface')} = 'mixed' OR (c AND l)) AND len(ps) > 1 THEN ps ELSE [text] END AS ps FROM r1),
+r3 AS (SELECT *, lower(s) AS low, {case_pattern('s')} AS pat, regexp_matches(lower(s), '{cyr}') AS c, regexp_matches(lower(s), '{lat}') AS l FROM (SELECT surface, unnest(ps) AS s, generate_subscripts(ps, 1) AS i FROM r2)),
+r4 AS (SELECT *, CASE WHEN c THEN {cyrillic_rule('low')} ELSE {old_to_new('low')} END AS canon FROM r3),
+r5 AS (SELECT surface, {', '.join(f"string_agg({x}, '' ORDER BY i) AS {to}" for to, x in cased.items())} FROM r4 GROUP BY surface),
+ruled AS (SELECT surface, {final} FROM r5 JOIN r1 USING (surface))"""

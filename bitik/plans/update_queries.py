@@ -118,7 +118,18 @@ def _fold(key: str, item: str, hits: str, limit: int, window: int) -> str:
 folded AS (SELECT {key}, ids, list_reduce(list_transform(ts, lambda t: {{'a': [t], 'f': [true]}}), {step}) AS r FROM lists), flags AS (SELECT unnest(ids) AS {item}, {key}, unnest(r.f) AS allowed FROM folded)"""
 
 
+_MARKS = "length(regexp_replace({}, '[^şçöğʼŞÇÖĞ]', '', 'g'))"
+_CONVERTED = f"""WITH texts AS (SELECT row_number() OVER () AS n, update_id, text FROM updates),
+runs AS (SELECT n, run, i, regexp_matches(run, '{q.ANCHOR}') AS kept FROM (SELECT n, unnest(rs) AS run, generate_subscripts(rs, 1) AS i FROM (SELECT n, regexp_extract_all(text, '[{q.SPACE}]+|[^{q.SPACE}]+') AS rs FROM texts))),
+segs AS (SELECT n, i, kept, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM (SELECT n, i, kept, CASE WHEN kept THEN [run] ELSE regexp_extract_all(run, {q._PIECES}) END AS ps FROM runs)),
+found AS (SELECT *, CASE WHEN NOT kept AND regexp_matches(p, '{q.L}') THEN regexp_extract(p, '{q.L}+(?:{q.A}+{q.L}+)*') || {q._TAKEN} END AS surface, length(regexp_extract(p, '^{q.A}*')) AS lead FROM segs), {q.ruled('found')},
+out AS (SELECT n, string_agg(CASE WHEN f.surface IS NULL THEN p ELSE p[1:lead] || r.new || p[lead + length(f.surface) + 1:] END, '' ORDER BY i, j) AS converted FROM found f LEFT JOIN ruled r USING (surface) GROUP BY n)
+SELECT update_id, CASE WHEN text IS NOT NULL THEN coalesce(converted, '') END AS converted FROM texts LEFT JOIN out USING (n)"""
+
 ORACLE_SQL = {
+    "conversions": f"""WITH {q.tokens('updates', 'update_id')}, {q.ruled('toks')} SELECT surface, new, old, cyrillic, CASE WHEN new <> surface THEN 'changed' WHEN regexp_matches(surface, '[\\x{{400}}-\\x{{52f}}]') THEN 'unchanged'
+      WHEN regexp_matches(lower(surface), 'sh|ch|[og]{q.A}') THEN 'unchanged' ELSE 'already' END AS status, CAST(2 * greatest(0, {_MARKS.format('new')} - {_MARKS.format('surface')}) AS INT) AS saved FROM ruled""",
+    "convert_texts": _CONVERTED,
     "rate_limit": f"WITH {_ONCE}, " + _fold("from_id", "update_id", "SELECT from_id, update_id, epoch_us(sent_at) // 1000 AS ms FROM routed WHERE kind = 'message' AND route <> 'ignored'", up.LIMITS["message"], up.WINDOW_MS) + " SELECT * FROM flags",
     "event_limit": "WITH " + _fold("user_id", "event_id", "SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events", 2, 36_000_000) + " SELECT allowed, count(*) AS events FROM flags GROUP BY allowed",
     "update_routes": f"WITH {_ONCE} SELECT update_id, route, CAST(length(CASE WHEN length(b) > 4096 THEN b[1:4000] ELSE b END) AS INT) AS body_length, coalesce(length(b) > 4096, false) AS is_cut FROM routed",
