@@ -9,6 +9,7 @@ from bitik.operators.lexicon import packed, total
 
 UNIGRAMS = "word string, books bigint, news bigint, telegram bigint, title bigint, lower bigint"
 BIGRAMS = "w1 string, w2 string, count bigint"
+USER_FORMAT = "bitik-user"
 HELD_OUT = "surface string, canonical string, count bigint"
 ITEMS = "item_id string, category string, split string, context string, question string, options array<string>, answer int, source string"
 
@@ -56,6 +57,36 @@ def files_digest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """S3: name and state (ok, missing, wrong size, wrong content, unlisted) of the files under a path against (name, length, sha256)."""
+    found = files_digest(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("l"), F.col("sha256").alias("s"))
+    both = manifest.join(found, "name", "full")
+    state = F.when(F.col("l").isNull(), "missing").when(F.col("length").isNull(), "unlisted").when(F.col("l") != F.col("length"), "wrong size").when(F.col("s") != F.lower("sha256"), "wrong content").otherwise("ok")
+    return both.select("name", state.alias("state"))
+
+
+def folder_bytes(spark: SparkSession, path: str, budget: int | None = None) -> int:
+    """Bytes of all files under a path; an error if they exceed the budget."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    if budget is not None and size > budget:
+        raise ValueError(f"{path} has {size} bytes, {size - budget} more than allowed")
+    return size
+
+
+def export_users(model: DataFrame) -> DataFrame:
+    """JS1: one JSON text a user of a model (from_id, word, count, last_ms); a user has at most 5,000 words."""
+    words = F.array_sort(F.collect_list(F.struct("word", "count", "last_ms")))
+    rows = model.where("from_id IS NOT NULL").groupBy("from_id").agg(words.alias("words"))
+    return rows.select("from_id", F.to_json(F.struct(F.lit(USER_FORMAT).alias("format"), F.lit(1).alias("version"), "words")).alias("json"))
+
+
+def import_users(rows: DataFrame) -> DataFrame:
+    """JS1: the model in JSON texts (from_id, json); a text that is no model has no words."""
+    read = F.from_json("json", "format string, version int, words array<struct<word:string,count:double,last_ms:bigint>>")
+    return rows.select("from_id", read.alias("m")).where(F.col("m.format") == USER_FORMAT).select("from_id", F.explode("m.words").alias("w")).select("from_id", "w.*")
+
+
 def write_lexicon(words: DataFrame, bigrams: DataFrame, suffixes: DataFrame, folder: str) -> None:
     """The packed lexicon as tables: words in the order of their skeleton, pairs by their first word, suffixes."""
     packed(words).sort("skeleton", tx.utf8_order(F.col("word"))).write.mode("overwrite").parquet(f"{folder}/words")
@@ -63,13 +94,28 @@ def write_lexicon(words: DataFrame, bigrams: DataFrame, suffixes: DataFrame, fol
     suffixes.orderBy("suffix").write.mode("overwrite").parquet(f"{folder}/suffixes")
 
 
+LEXICON_COLUMNS = {
+    "words": {"word": "string", "skeleton": "string", "uni_q": "int", "inf_q": "int", "capitalized": "boolean"},
+    "bigrams": {"w1": "string", "w2": "string", "count": "bigint"},
+    "suffixes": {"suffix": "string"},
+}
+
+
 def read_lexicon(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The tables of a lexicon, their columns checked."""
-    words, bigrams, suffixes = (spark.read.parquet(f"{folder}/{t}") for t in ("words", "bigrams", "suffixes"))
-    missing = {"word", "skeleton", "uni_q", "inf_q", "capitalized"} - set(words.columns)
-    if missing:
-        raise ValueError(f"no lexicon: {sorted(missing)} missing")
-    return words, bigrams, suffixes
+    """The tables of a lexicon; an error names missing columns, other types, and words that do not fit their columns."""
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in LEXICON_COLUMNS}
+    for name, columns in LEXICON_COLUMNS.items():
+        types = dict(tables[name].dtypes)
+        if wrong := sorted(c for c, t in columns.items() if types.get(c) != t):
+            raise ValueError(f"no lexicon: {wrong} missing or of another type in {name}")
+    w = tables["words"]
+    bad = w.agg(
+        F.count_if(~F.coalesce(tx.is_packable(F.col("word")), F.lit(False))).alias("letters"), F.count_if(F.col("skeleton") != tx.skeleton_key(F.col("word"))).alias("skeletons"),
+        F.count_if(~F.col("uni_q").between(0, 255) | ~F.col("inf_q").between(0, 255)).alias("counts"), (F.count("*") - F.count_distinct("word")).alias("repeated"),
+    ).first()
+    if any(bad):
+        raise ValueError(f"no lexicon: {({k: n for k, n in bad.asDict().items() if n})} words are wrong")
+    return w, tables["bigrams"], tables["suffixes"]
 
 
 def publish(words: DataFrame, index: DataFrame, bigrams: DataFrame, folder: str, cutoff: int) -> None:
@@ -81,10 +127,16 @@ def publish(words: DataFrame, index: DataFrame, bigrams: DataFrame, folder: str,
 
 
 def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small aggregate as a Markdown table."""
-    rows = df.limit(limit).collect()
-    lines = [df.columns, ["---"] * len(df.columns), *[["" if v is None else str(v) for v in r] for r in rows]]
-    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+    """An aggregate as a Markdown table; a line at the end says how many rows beyond the limit are left out."""
+    rows = df.limit(limit + 1).collect()
+    lines = [df.columns, ["---"] * len(df.columns), *[["" if v is None else str(v) for v in r] for r in rows[:limit]]]
+    out = "\n".join("| " + " | ".join(line) + " |" for line in lines)
+    return out if len(rows) <= limit else f"{out}\n\n{df.count() - limit} more rows are left out."
+
+
+def json_report(df: DataFrame, path: str) -> None:
+    """An aggregate as one file of JSON lines."""
+    df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def upsert(board: DataFrame, new: DataFrame, key: str) -> DataFrame:

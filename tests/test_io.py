@@ -1,3 +1,6 @@
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from bitik.operators import corpus
@@ -29,7 +32,7 @@ def test_items_and_marks(spark, tmp_path):
 
 
 def test_lexicon_tables(spark, tmp_path):
-    w = words(spark).withColumn("protected", F.lit(False))
+    w = words(spark).where("word NOT LIKE '%\"%'").withColumn("protected", F.lit(False))
     pairs = spark.createDataFrame([("olma", "töğri", 4)], io.BIGRAMS)
     io.write_lexicon(w, pairs, spark.createDataFrame([("lar",)], "suffix string"), str(tmp_path))
     back, b, s = io.read_lexicon(spark, str(tmp_path))
@@ -46,3 +49,35 @@ def test_report_and_upsert(spark):
     new = spark.createDataFrame([("b", 3)], "name string, score int")
     assert sorted(map(tuple, io.upsert(board, new, "name").collect())) == [("a", 1), ("b", 3)]
     assert io.markdown(new) == "| name | score |\n| --- | --- |\n| b | 3 |"
+
+
+def test_a_broken_lexicon_is_refused(spark, tmp_path):
+    w = words(spark).withColumn("protected", F.lit(False))  # one word has a quotation mark
+    pairs, suffixes = spark.createDataFrame([("olma", "töğri", 4)], io.BIGRAMS), spark.createDataFrame([("lar",)], "suffix string")
+    io.write_lexicon(w, pairs, suffixes, str(tmp_path))
+    with pytest.raises(ValueError, match="letters"):
+        io.read_lexicon(spark, str(tmp_path))
+    spark.createDataFrame([("lar",)], "other string").write.mode("overwrite").parquet(f"{tmp_path}/suffixes")
+    with pytest.raises(ValueError, match="suffix"):
+        io.read_lexicon(spark, str(tmp_path))
+
+
+def test_verified_files_and_budget(spark, tmp_path):
+    for name, content in (("a", b"1"), ("b", b"22"), ("c", b"3"), ("d", b"4")):
+        (tmp_path / name).write_bytes(content)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    listed = spark.createDataFrame([("a", 1, sha(b"1").upper()), ("b", 1, sha(b"2")), ("c", 1, sha(b"9")), ("e", 1, sha(b"5"))], "name string, length bigint, sha256 string")
+    assert dict(map(tuple, io.verified(spark, f"{tmp_path}/*", listed).collect())) == {"a": "ok", "b": "wrong size", "c": "wrong content", "d": "unlisted", "e": "missing"}
+    assert io.folder_bytes(spark, str(tmp_path), 5) == 5
+    with pytest.raises(ValueError):
+        io.folder_bytes(spark, str(tmp_path), 4)
+
+
+def test_users_as_json(spark):
+    model = spark.createDataFrame([(1, "olma", 2.5, 10), (1, "nok", 1.0, 11), (2, "behi", 1.0, 3)], "from_id bigint, word string, count double, last_ms bigint")
+    texts = io.export_users(model).unionByName(spark.createDataFrame([(3, "broken"), (4, None), (5, '{"format": "other"}')], "from_id bigint, json string"))
+    assert sorted(map(tuple, io.import_users(texts).collect())) == sorted(map(tuple, model.collect()))
+
+
+def test_a_cut_report_says_so(spark):
+    assert io.markdown(spark.range(5), 2).endswith("3 more rows are left out.")

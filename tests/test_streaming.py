@@ -1,3 +1,7 @@
+import os
+import random
+import shutil
+
 from bitik.operators import updates as up
 from bitik.streaming import updates as st
 
@@ -16,9 +20,36 @@ def test_counters_and_limiter(spark, tmp_path):
     feed = st.read_updates(spark, f"{tmp_path}/in", schema)
     counted = run(st.counters(feed), "update", tmp_path, "counted").groupBy("route").max("updates").collect()
     assert [tuple(r) for r in counted] == [("text", 60)]
-    hits = feed.selectExpr("from_id AS key", "unix_millis(sent_at) AS ms", "update_id AS order").where("update_id <> 5 OR true")
-    got = run(st.limiter(hits, 7), "append", tmp_path, "limited").groupBy("key", "allowed").count().collect()
-    assert {(r["key"], r["allowed"]): r["count"] for r in got} == {(0, True): 7, (0, False): 23, (1, True): 7, (1, False): 24}
+
+
+def test_limiter_decides_as_the_batch_form(spark, tmp_path):
+    """Hits in any order, some late ones in later files, and a last file whose time lets the watermark pass them all."""
+    rng = random.Random(8)
+    hits = [(rng.randrange(3), rng.randrange(0, 600_000, 500), n) for n in range(400)]
+    for n in range(4):
+        spark.createDataFrame(hits[n::4], "key bigint, ms bigint, order bigint").coalesce(1).write.mode("append").parquet(f"{tmp_path}/h")
+    end = 10 * 24 * 3600 * 1000
+    for n in (1, 2):
+        spark.createDataFrame([(99, n * end, 1000 + n), (None, n * end, 5)], "key bigint, ms bigint, order bigint").coalesce(1).write.parquet(f"{tmp_path}/late{n}")
+    (tmp_path / "feed").mkdir()
+    files = [*sorted((tmp_path / "h").glob("*.parquet")), *sorted((tmp_path / "late1").glob("*.parquet")), *sorted((tmp_path / "late2").glob("*.parquet"))]
+    for n, file in enumerate(files):
+        target = tmp_path / "feed" / f"{n:02}.parquet"
+        shutil.copy(file, target)
+        os.utime(target, (1_700_000_000 + n * 60,) * 2)
+    feed = spark.readStream.schema("key bigint, ms bigint, order bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/feed")
+    got = {(r["key"], r["order"]): r["allowed"] for r in run(st.limiter(feed, 4), "append", tmp_path, "limited2").collect() if r["key"] != 99}
+    batch = up.limited(spark.createDataFrame(hits, "key bigint, ms bigint, order bigint"), "key", "ms", "order", 4)
+    assert got == {(r["key"], r["order"]): r["allowed"] for r in batch.collect()}
+    state = spark.read.format("statestore").load(f"{tmp_path}/limited2").collect()
+    assert {r["key"]["key"] for r in state} <= {99}  # all other keys are removed
+
+
+def test_forgotten_words(spark, tmp_path):
+    rows = [(1, "olma", 0), (1, "olma", 1), (1, "nok", 2), (1, "behi", 3), (1, "behi", 4), (None, "x", 5)]
+    spark.createDataFrame(rows, "from_id bigint, word string, ms bigint").coalesce(1).write.parquet(f"{tmp_path}/w")
+    feed = spark.readStream.schema("from_id bigint, word string, ms bigint").parquet(f"{tmp_path}/w")
+    assert {r["word"] for r in run(st.learn(feed, max_words=2), "update", tmp_path, "forgot").collect()} == {"olma", "behi"}
 
 
 def test_learned_words(spark, tmp_path):
