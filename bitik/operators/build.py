@@ -69,6 +69,29 @@ def on_tokens(text: Column, change) -> Column:
     return F.array_join(F.transform(tx.runs(text), lambda r: F.when(tx.is_protected_run(r), r).otherwise(run(r))), "")
 
 
+def converted(text: Column, to: str, source: str = "old") -> Column:
+    """The text with its tokens written in another script; nothing is corrected.
+
+    A token in the script of `source` is read in it; tokens of the other script, of mixed case or script, and those beside
+    a digit go by the rules of one token. The same script on both sides changes nothing.
+    """
+    if source == to:
+        return text
+
+    def one(p: Column, glued: Column) -> Column:
+        low, pattern = F.lower(tx.fold_confusables(p)), tx.case_pattern(p)
+        kind = tx.detect_script(low)
+        direct = (pattern != "mixed") & (kind == ("cyrillic" if source == "cyrillic" else "latin")) & ~F.coalesce(glued, F.lit(False))
+        return F.when(~tx.is_token(p), p).when(direct, tr.render(tr.canonical(low, source), to, pattern)).otherwise(tr.rule_token(p, to, "old" if source == "cyrillic" else source))
+
+    def run(r: Column) -> Column:
+        beside = lambda ps, i: F.get(ps, i - 1).rlike(f"{tx.DIGIT}$") | F.coalesce(F.get(ps, i + 1).rlike(f"^{tx.DIGIT}"), F.lit(False))
+        # the pieces are bound once by a transform over one array
+        return F.get(F.transform(F.array(tx.segments_of(r)), lambda ps: F.array_join(F.transform(ps, lambda p, i: one(p, beside(ps, i))), "")), F.lit(0))
+
+    return F.array_join(F.transform(tx.runs(text), lambda r: F.when(tx.is_protected_run(r), r).otherwise(run(r))), "")
+
+
 def without_apostrophes(text: Column) -> Column:
     """P32."""
     return on_tokens(text, tx.strip_apostrophes)

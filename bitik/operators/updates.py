@@ -9,7 +9,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bitik.functions import text as tx
 
@@ -51,6 +51,41 @@ def route(updates: DataFrame, username: str = "bitik_bot") -> DataFrame:
     return updates.withColumn("route", routed).withColumn("body", F.when(long_, tx.cut(body, INPUT_CUT)).otherwise(body)).withColumn("is_cut", F.coalesce(long_, F.lit(False)))
 
 
+SCRIPTS = ("new", "old", "cyrillic")
+
+
+def status(text: Column, out: Column, script: str) -> Column:
+    """Changed; already, if the text is written in the script; unchanged otherwise."""
+    cyrillic = text.rlike(r"[\x{0400}-\x{052f}]")
+    in_script = {
+        "cyrillic": cyrillic & ~text.rlike("[A-Za-zÀ-ɏ]"),
+        "new": ~cyrillic & ~F.lower(text).rlike(f"sh|ch|[og]{tx.APOS}"),
+        "old": ~cyrillic & ~F.lower(text).rlike("[şçöğ]"),
+    }[script]
+    return F.when(out != text, "changed").when(in_script, "already").when(text.isNotNull(), "unchanged")
+
+
+def replies(rows: DataFrame, key: str, limit: int = MAX_TEXT) -> DataFrame:
+    """Q14: key, part, script, body: the text in the three scripts (columns new, old, cyrillic) as messages of at most `limit` characters.
+
+    One message if all three fit, else one for each script, cut where it does not fit and never inside an escape. A
+    script the text is not changed for has its status in place of the text. A null text has no reply.
+    """
+
+    def section(script: str) -> Column:
+        state = status(F.col("text"), F.col(script), script)
+        return F.when(state == "changed", F.concat(F.lit(f"<b>{script}</b>\n<pre>"), tx.html_escape(F.col(script)), F.lit("</pre>"))).otherwise(F.concat(F.lit(f"<b>{script}</b> "), state))
+
+    def cut(body: Column) -> Column:
+        short = F.regexp_replace(F.substring(body, 1, limit - len("…</pre>")), "&[a-z]*$", "")
+        return F.when(F.length(body) > limit, F.concat(short, F.lit("…</pre>"))).otherwise(body)
+
+    one = F.concat_ws("\n\n", *map(section, SCRIPTS))
+    part = lambda n, script, body: F.struct(F.lit(n).alias("part"), F.lit(script).cast("string").alias("script"), body.alias("body"))
+    parts = F.when(F.length(one) <= limit, F.array(part(0, None, one))).otherwise(F.array(*[part(n, s, cut(section(s))) for n, s in enumerate(SCRIPTS)]))
+    return rows.where("text IS NOT NULL").select(key, F.explode(parts).alias("p")).select(key, "p.*")
+
+
 def sessions(hits: DataFrame, key: str, ms: str, gap_ms: int = WINDOW_MS) -> DataFrame:
     """`hits` with session: the start of the stretch without a pause of `gap_ms` that a hit lies in.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bitik.functions import text as tx
 from bitik.operators import correct, lexicon as lx, updates as up
-from bitik.plans import lexicon_queries as lq
+from bitik.plans import lexicon_queries as lq, update_queries as uq
 from bitik.session import materialise, table
 
 SIZE = 50_000
@@ -27,15 +27,37 @@ def autocorrect(spark, sf_dir):
     return correct.autocorrect(texts, *_parts(spark, sf_dir))
 
 
-def suggest(spark, sf_dir):
-    """Suggestions for the last, unfinished word of every inline query."""
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unfinished last word of every inline query and the word before it."""
     words = F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
     asked = up.once(table(spark, sf_dir, "updates")).where("kind = 'inline_query'")
     ends_blank = F.coalesce(F.col("text").rlike(r"\s$"), F.lit(False))
     buffer = F.when(ends_blank, F.lit("")).otherwise(F.element_at(words, -1))
     prev = F.when(ends_blank, F.element_at(words, -1)).otherwise(F.try_element_at(words, F.lit(-2)))
+    return asked.select(F.col("update_id").alias("query_id"), buffer.alias("buffer"), prev.alias("prev"), F.col("from_id").alias("user"))
+
+
+def suggest(spark, sf_dir):
+    """Suggestions for the last, unfinished word of every inline query."""
+    lex, bigrams, _ = _parts(spark, sf_dir)
+    return correct.suggest(_asked(spark, sf_dir).drop("user"), lex, bigrams)
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: the words every writer has used, with their bonus."""
+    return materialise(correct.user_words(uq.user_models(spark, sf_dir)))
+
+
+def personal_autocorrect(spark, sf_dir):
+    """Q1, Q4: every message corrected with its writer's own words, stems corrected as well."""
+    texts = up.once(table(spark, sf_dir, "updates")).where("kind = 'message'").select(F.col("update_id").alias("id"), "text", F.col("from_id").alias("user"))
+    return correct.autocorrect(texts, *_parts(spark, sf_dir), users=_users(spark, sf_dir), morphology="correct")
+
+
+def personal_suggest(spark, sf_dir):
+    """Q2, Q4: suggestions for every inline query with its writer's own words."""
     lex, bigrams, _ = _parts(spark, sf_dir)
-    return correct.suggest(asked.select(F.col("update_id").alias("query_id"), buffer.alias("buffer"), prev.alias("prev")), lex, bigrams)
+    return correct.suggest(_asked(spark, sf_dir), lex, bigrams, users=_users(spark, sf_dir))
 
 
 def correction_outcomes(spark, sf_dir):
@@ -48,5 +70,5 @@ def correction_outcomes(spark, sf_dir):
     return out.groupBy(kind.alias("outcome")).agg(F.count("*").alias("words"))
 
 
-QUERIES = {f.__name__: f for f in (autocorrect, suggest, correction_outcomes)}
+QUERIES = {f.__name__: f for f in (autocorrect, suggest, personal_autocorrect, personal_suggest, correction_outcomes)}
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bitik.functions import text as tx, translit as tr
-from bitik.operators import corpus, updates as up
+from bitik.operators import build, corpus, updates as up
 from bitik.plans import sql as q
 from bitik.session import table
 
@@ -44,11 +44,16 @@ def decayed_counts(spark, sf_dir):
     return up.decayed(events, ["user_id", "event_type"], "ms").select("user_id", "event_type", F.round("count", 4).alias("count"))
 
 
-def user_words(spark, sf_dir):
-    """The user model of every chat user from their texts."""
+def user_models(spark, sf_dir):
+    """Q4: the user model of every chat user from their texts."""
     texts = _routed(spark, sf_dir).where("route = 'text'").select("from_id", "sent_at", F.col("body").alias("text"), "update_id")
     words = corpus.analysed(corpus.tokens(texts, "from_id", "update_id", "sent_at")).where("kind = 'word'").select("from_id", F.col("canon").alias("word"), F.unix_millis("sent_at").alias("ms"))
-    return up.user_model(words).select("from_id", "word", F.round("count", 4).alias("count"))
+    return up.user_model(words)
+
+
+def user_words(spark, sf_dir):
+    """The words of every user model with their counts."""
+    return user_models(spark, sf_dir).select("from_id", "word", F.round("count", 4).alias("count"))
 
 
 def delivery_latency(spark, sf_dir):
@@ -64,8 +69,7 @@ def conversions(spark, sf_dir):
     forms = corpus.surfaces(texts).select("surface")
     s = F.col("surface")
     out = forms.select("surface", *[tr.rule_token(s, to).alias(to) for to in ("new", "old", "cyrillic")])
-    status = F.when(F.col("new") != s, "changed").when(s.rlike(r"[\x{0400}-\x{052f}]"), "unchanged").when(F.lower(s).rlike("sh|ch|[og]['`´‘’ʻʼʽʿ′]"), "unchanged").otherwise("already")
-    return out.withColumn("status", status).withColumn("saved", 2 * F.greatest(F.lit(0), tx.marks_in(F.col("new")) - tx.marks_in(s)))
+    return out.withColumn("status", up.status(s, F.col("new"), "new")).withColumn("saved", 2 * F.greatest(F.lit(0), tx.marks_in(F.col("new")) - tx.marks_in(s)))
 
 
 def convert_texts(spark, sf_dir):
@@ -73,14 +77,17 @@ def convert_texts(spark, sf_dir):
     return convert(table(spark, sf_dir, "updates").select("update_id", "text"), "update_id", "new")
 
 
-def convert(texts: DataFrame, key: str, to: str, source: str = "old") -> DataFrame:
-    """Texts converted token by token inside the row; protected runs and gaps stay as they are."""
-    def run(r):
-        pieces = tx.segments_of(r)
-        return F.array_join(F.transform(pieces, lambda p: F.when(tx.is_token(p), tr.rule_token(p, to, source)).otherwise(p)), "")
+def update_replies(spark, sf_dir):
+    """Q14: the texts to answer in the three scripts as messages that fit."""
+    texts = _routed(spark, sf_dir).where("route IN ('text', 'inline')").select("update_id", F.col("body").alias("text"))
+    t = F.col("text")
+    out = texts.select("update_id", t, build.converted(t, "new").alias("new"), build.on_tokens(t, lambda p: tr.rule_token(p, "old")).alias("old"), build.converted(t, "cyrillic").alias("cyrillic"))
+    return up.replies(out, "update_id").withColumn("length", F.length("body")).withColumn("body", F.md5("body"))
+
 
-    runs = F.transform(tx.runs(F.col("text")), lambda r: F.when(tx.is_protected_run(r), r).otherwise(run(r)))
-    return texts.select(key, F.array_join(runs, "").alias("converted"))
+def convert(texts: DataFrame, key: str, to: str, source: str = "old") -> DataFrame:
+    """Texts (key, text) converted token by token inside the row."""
+    return texts.select(key, build.converted(F.col("text"), to, source).alias("converted"))
 
 
 def eval_items(spark, sf_dir):
@@ -100,7 +107,7 @@ def eval_scores(spark, sf_dir):
     return i.rollup("category").agg(F.grouping("category").cast("int").alias("is_total"), F.count("*").alias("items"), F.count_if(F.coalesce(hit, F.lit(False))).alias("correct"))
 
 
-QUERIES = {f.__name__: f for f in (update_routes, route_counters, rate_limit, event_limit, decayed_counts, user_words, delivery_latency, conversions, convert_texts, eval_items, eval_scores)}
+QUERIES = {f.__name__: f for f in (update_routes, route_counters, rate_limit, event_limit, decayed_counts, user_words, delivery_latency, conversions, convert_texts, update_replies, eval_items, eval_scores)}
 
 _ONCE = """once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY update_id ORDER BY received_at NULLS LAST, sent_at NULLS LAST) AS r FROM updates) WHERE r = 1),
 bodies AS (SELECT *, chat_type IN ('group', 'supergroup') AS grp, CASE WHEN kind = 'inline_query' THEN trim(coalesce(text, ''))[1:256] WHEN chat_type IN ('group', 'supergroup') THEN trim(regexp_replace(text, '@bitik_bot\\b', '', 'gi')) ELSE text END AS b FROM once),
@@ -119,17 +126,26 @@ folded AS (SELECT {key}, ids, list_reduce(list_transform(ts, lambda t: {{'a': [t
 
 
 _MARKS = "length(regexp_replace({}, '[^şçöğʼŞÇÖĞ]', '', 'g'))"
-_CONVERTED = f"""WITH texts AS (SELECT row_number() OVER () AS n, update_id, text FROM updates),
-runs AS (SELECT n, run, i, regexp_matches(run, '{q.ANCHOR}') AS kept FROM (SELECT n, unnest(rs) AS run, generate_subscripts(rs, 1) AS i FROM (SELECT n, regexp_extract_all(text, '[{q.SPACE}]+|[^{q.SPACE}]+') AS rs FROM texts))),
-segs AS (SELECT n, i, kept, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM (SELECT n, i, kept, CASE WHEN kept THEN [run] ELSE regexp_extract_all(run, {q._PIECES}) END AS ps FROM runs)),
-found AS (SELECT *, CASE WHEN NOT kept AND regexp_matches(p, '{q.L}') THEN regexp_extract(p, '{q.L}+(?:{q.A}+{q.L}+)*') || {q._TAKEN} END AS surface, length(regexp_extract(p, '^{q.A}*')) AS lead FROM segs), {q.ruled('found')},
-out AS (SELECT n, string_agg(CASE WHEN f.surface IS NULL THEN p ELSE p[1:lead] || r.new || p[lead + length(f.surface) + 1:] END, '' ORDER BY i, j) AS converted FROM found f LEFT JOIN ruled r USING (surface) GROUP BY n)
-SELECT update_id, CASE WHEN text IS NOT NULL THEN coalesce(converted, '') END AS converted FROM texts LEFT JOIN out USING (n)"""
+_CONVERTED = f"""runs AS (SELECT n, run, i, regexp_matches(run, '{q.ANCHOR}') AS kept FROM (SELECT n, unnest(rs) AS run, generate_subscripts(rs, 1) AS i FROM (SELECT n, regexp_extract_all(text, '[{q.SPACE}]+|[^{q.SPACE}]+') AS rs FROM texts))),
+segs AS (SELECT n, i, kept, ps, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM (SELECT n, i, kept, CASE WHEN kept THEN [run] ELSE regexp_extract_all(run, {q._PIECES}) END AS ps FROM runs)),
+found AS (SELECT *, CASE WHEN NOT kept AND regexp_matches(p, '{q.L}') THEN regexp_extract(p, '{q.L}+(?:{q.A}+{q.L}+)*') || {q._TAKEN} END AS surface, length(regexp_extract(p, '^{q.A}*')) AS lead,
+    (NOT regexp_matches(p, '^{q.A}') AND j > 1 AND regexp_matches(ps[j - 1], '{q.D}$')) OR (length({q._TAIL}) = length({q._TAKEN}) AND regexp_matches(coalesce(ps[j + 1], ''), '^{q.D}')) AS glued FROM segs), {q.ruled('found')},
+read AS (SELECT surface, {q.case_pattern('surface')} AS pat, {q.old_to_new('low')} AS canon FROM (SELECT DISTINCT surface, lower(translate(surface, '{q.FOLD_FROM}', '{q.FOLD_TO}')) AS low FROM found WHERE surface IS NOT NULL) WHERE {q.script('low')} = 'latin' AND {q.case_pattern('surface')} <> 'mixed'),
+direct AS (SELECT surface, {', '.join(f"CASE pat WHEN 'upper' THEN upper({x}) WHEN 'title' THEN upper(({x})[1:1]) || ({x})[2:] ELSE {x} END AS {to}" for to, x in (('new', 'canon'), ('cyrillic', q.new_to_cyrillic('canon'))))}, NULL AS old FROM read),
+out AS (SELECT n, {', '.join(f"string_agg(CASE WHEN f.surface IS NULL THEN p ELSE p[1:lead] || CASE WHEN glued THEN r.{to} ELSE coalesce(d.{to}, r.{to}) END || p[lead + length(f.surface) + 1:] END, '' ORDER BY i, j) AS {to}" for to in up.SCRIPTS)} FROM found f LEFT JOIN ruled r USING (surface) LEFT JOIN direct d USING (surface) GROUP BY n)"""
+_ESCAPED = """replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+_CYR = "regexp_matches(text, '[\\x{400}-\\x{52f}]')"
+_IN_SCRIPT = {"cyrillic": f"{_CYR} AND NOT regexp_matches(text, '[A-Za-zÀ-ɏ]')", "new": f"NOT {_CYR} AND NOT regexp_matches(lower(text), 'sh|ch|[og]{q.A}')", "old": f"NOT {_CYR} AND NOT regexp_matches(lower(text), '[şçöğ]')"}
+_SECTIONS = {to: f"CASE WHEN {to} <> text THEN '<b>{to}</b>' || chr(10) || '<pre>' || {_ESCAPED.format(to)} || '</pre>' ELSE '<b>{to}</b> ' || CASE WHEN {_IN_SCRIPT[to]} THEN 'already' ELSE 'unchanged' END END" for to in up.SCRIPTS}
 
 ORACLE_SQL = {
     "conversions": f"""WITH {q.tokens('updates', 'update_id')}, {q.ruled('toks')} SELECT surface, new, old, cyrillic, CASE WHEN new <> surface THEN 'changed' WHEN regexp_matches(surface, '[\\x{{400}}-\\x{{52f}}]') THEN 'unchanged'
       WHEN regexp_matches(lower(surface), 'sh|ch|[og]{q.A}') THEN 'unchanged' ELSE 'already' END AS status, CAST(2 * greatest(0, {_MARKS.format('new')} - {_MARKS.format('surface')}) AS INT) AS saved FROM ruled""",
-    "convert_texts": _CONVERTED,
+    "convert_texts": f"WITH texts AS (SELECT row_number() OVER () AS n, update_id, text FROM updates), {_CONVERTED} SELECT update_id, CASE WHEN text IS NOT NULL THEN coalesce(new, '') END AS converted FROM texts LEFT JOIN out USING (n)",
+    "update_replies": f"""WITH {_ONCE}, texts AS (SELECT row_number() OVER () AS n, update_id, CASE WHEN length(b) > 4096 THEN b[1:4000] ELSE b END AS text FROM routed WHERE route IN ('text', 'inline')), {_CONVERTED},
+      said AS (SELECT update_id, {', '.join(f"{x} AS s_{to}" for to, x in _SECTIONS.items())} FROM texts JOIN out USING (n)), whole AS (SELECT *, concat_ws(chr(10) || chr(10), s_new, s_old, s_cyrillic) AS one FROM said),
+      parts AS (SELECT update_id, 0 AS part, NULL AS script, one AS body FROM whole WHERE length(one) <= {up.MAX_TEXT} {' '.join(f"UNION ALL SELECT update_id, {n}, '{to}', CASE WHEN length(s_{to}) > {up.MAX_TEXT} THEN regexp_replace(s_{to}[1:{up.MAX_TEXT - 7}], '&[a-z]*$', '') || '…</pre>' ELSE s_{to} END FROM whole WHERE length(one) > {up.MAX_TEXT}" for n, to in enumerate(up.SCRIPTS))})
+      SELECT update_id, part, script, md5(body) AS body, CAST(length(body) AS INT) AS length FROM parts""",
     "rate_limit": f"WITH {_ONCE}, " + _fold("from_id", "update_id", "SELECT from_id, update_id, epoch_us(sent_at) // 1000 AS ms FROM routed WHERE kind = 'message' AND route <> 'ignored'", up.LIMITS["message"], up.WINDOW_MS) + " SELECT * FROM flags",
     "event_limit": "WITH " + _fold("user_id", "event_id", "SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events", 2, 36_000_000) + " SELECT allowed, count(*) AS events FROM flags GROUP BY allowed",
     "update_routes": f"WITH {_ONCE} SELECT update_id, route, CAST(length(CASE WHEN length(b) > 4096 THEN b[1:4000] ELSE b END) AS INT) AS body_length, coalesce(length(b) > 4096, false) AS is_cut FROM routed",
