@@ -83,6 +83,21 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(mark_glued(text), F.lit(f"{TOKEN}|{GLUED}"), F.lit(0))
 
 
+def current_word(text: Column) -> Column:
+    """Struct of the unfinished token at the end of a text ("" if it does not end in one), its place, and the token before it."""
+    # bound once by a transform over one array
+    bound = F.transform(F.array(F.struct(text.alias("t"), F.filter(tokens_of(text), lambda w: w != GLUED).alias("w"))), _last_two)
+    return F.get(bound, F.lit(0))
+
+
+def _last_two(x: Column) -> Column:
+    last = F.try_element_at(x["w"], F.lit(-1))
+    open_ = F.coalesce(F.endswith(x["t"], last), F.lit(False))
+    buffer = F.when(open_, last).otherwise("")
+    prev = F.when(open_, F.try_element_at(x["w"], F.lit(-2))).otherwise(last)
+    return F.struct(buffer.alias("buffer"), (F.length(x["t"]) - F.length(buffer)).alias("start"), prev.alias("prev"))
+
+
 def segments_of(run: Column) -> Column:
     """Pieces that cover one run exactly: tokens, and single other characters."""
     return F.regexp_extract_all(run, F.lit(rf"{TOKEN}|[\s\S]"), F.lit(0))

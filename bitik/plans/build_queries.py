@@ -127,7 +127,7 @@ def _careless(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("converted")
     ways = {"without_marks": tx.ascii_form(tx.normalize(t)), "one_letter_sh": F.translate(t, "şçöğʼŞÇÖĞ", "scogSCOG"), "as_meant": t}
     rows = materialise(meant.select("place", t.alias("expected"), F.explode(F.map_from_arrays(F.array(*map(F.lit, ways)), F.array(*ways.values()))).alias("variant", "typed")).withColumn("id", F.concat_ws("/", "place", "variant")))
-    fixed = correct.autocorrect(rows.select("id", F.col("typed").alias("text")), *eq._parts(spark, sf_dir))
+    fixed = correct.autocorrect(rows.select("id", F.col("typed").alias("text")), *eq.parts(spark, sf_dir))
     return rows.join(fixed.withColumnRenamed("corrected", "output"), "id").select("variant", "typed", "output", "expected")
 
 

@@ -63,12 +63,15 @@ def document_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: documents, dropped documents, words seen and kept by register, with a total row."""
-    stats = corpus.document_stats(table(spark, sf_dir, "documents"))
+    """A5: documents with a token, dropped ones, words seen and kept, and the characters of all texts, by register, with a total row."""
+    docs = table(spark, sf_dir, "documents")
+    stats = corpus.document_stats(docs)
     out = stats.rollup("register").agg(
         F.grouping("register").cast("int").alias("is_total"), F.count("*").alias("docs"), F.count_if(~F.col("keep")).alias("dropped"), F.sum("words").alias("words_seen"), F.sum(F.when(F.col("keep"), F.col("words")).otherwise(0)).alias("words_kept")
     )
-    return out
+    size = corpus.scan(docs, "register").rollup("register").agg(F.grouping("register").cast("int").alias("is_total"), F.sum(F.length("text")).alias("characters"))
+    same = F.col("a.register").eqNullSafe(F.col("b.register")) & (F.col("a.is_total") == F.col("b.is_total"))
+    return out.alias("a").join(size.alias("b"), same).select("a.*", "b.characters")
 
 
 def doc_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +138,7 @@ ORACLE_SQL = {
     "unigrams_by_source": f"{_UNI} SELECT * FROM uni WHERE books + news + telegram >= 2",
     "telegram_surfaces": f'{_TOKS} SELECT surface, count(*) AS "count" FROM full_toks WHERE register = \'telegram\' AND canon IS NOT NULL GROUP BY surface HAVING count(*) >= 2',
     "document_filter": f"{_DOCS} SELECT * FROM stats",
-    "source_report": f"{_DOCS} SELECT register, CAST(grouping(register) AS INT) AS is_total, count(*) AS docs, count(*) FILTER (NOT keep) AS dropped, CAST(sum(words) AS BIGINT) AS words_seen, CAST(coalesce(sum(words) FILTER (keep), 0) AS BIGINT) AS words_kept FROM stats GROUP BY ROLLUP (register)",
+    "source_report": f"{_DOCS} SELECT register, CAST(grouping(register) AS INT) AS is_total, count(*) AS docs, count(*) FILTER (NOT keep) AS dropped, CAST(sum(words) AS BIGINT) AS words_seen, CAST(coalesce(sum(words) FILTER (keep), 0) AS BIGINT) AS words_kept, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents d WHERE text <> '' AND (grouping(s.register) = 1 OR d.register IS NOT DISTINCT FROM s.register)) AS characters FROM stats s GROUP BY ROLLUP (register)",
     "doc_class": f"{_DOCS} SELECT register, doc_class, count(*) AS docs, CAST(sum(words) AS BIGINT) AS words FROM stats WHERE keep GROUP BY 1, 2",
     "class_unigrams": f"{_DOCS} SELECT doc_class, canon AS word, count(*) AS \"count\" FROM full_toks JOIN stats USING (doc_id) WHERE keep AND doc_class IN ('latin_bare', 'cyr_ru_layout') AND canon IS NOT NULL GROUP BY 1, 2",
     "neighbour_pairs": f"{_TOKS}{_PAIRS} SELECT * FROM counted",
