@@ -177,6 +177,20 @@ def test_segments_have_places(spark):
     assert text[rows[1]["start_pos"] :].startswith("Вчера") and rows[0]["confidence"] > la.MARGIN
 
 
+def test_rejected_segments_have_no_confidence(spark):
+    df = spark.createDataFrame([(1, "Va. " + SENTENCES["uz"] + " Xxx qqq zzz www.", "uz", 0.0, "r", 1, "s")], CRAWL)
+    rows = la.language_segments(df).orderBy("start_pos").collect()
+    assert {r["lang"] for r in rows} >= {None, "uz"} and all((r["lang"] is None) == (r["confidence"] is None) for r in rows)
+
+
+def test_many_texts_are_classified_as_one_by_one():
+    classify = la.Classifier(la.fit([]))
+    texts = [*SENTENCES.values(), "", "12 !", "\n".join(SENTENCES.values()), "ş " * 50]
+    assert la.segments_of(texts, classify) == [la.segments_of([t], classify)[0] for t in texts]
+    for text in SENTENCES.values():
+        assert la.prepared(text, [(0, len(text))]) == ([la.plain(text)], [la.is_cyrillic(text)])
+
+
 # --- sentences -------------------------------------------------------------------------------------------
 
 CUTS = [
