@@ -49,8 +49,13 @@ def bigram_scores(bigrams: DataFrame) -> DataFrame:
 
 
 def segments(texts: DataFrame, key: str) -> DataFrame:
-    """The pieces of every text in order, with kind, chunk, initial and shouting."""
-    rows = texts.select(key, F.posexplode_outer(tx.runs(F.col("text"))).alias("run_no", "run")).where("run_no IS NOT NULL")
+    """The pieces of every text in order, with kind, chunk, initial and shouting.
+
+    Texts are distributed by their key before they are taken apart: whole texts move, not pieces, and every window
+    below finds its rows in place.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.select(key, "text").repartition(parts, key).select(key, F.posexplode_outer(tx.runs(F.col("text"))).alias("run_no", "run")).where("run_no IS NOT NULL")
     rows = rows.withColumn("protected_run", tx.is_protected_run(F.col("run")))
     rows = rows.withColumn("ps", F.when(F.col("run").rlike(f"^[{tx.JS_SPACE}]"), F.array("run")).otherwise(tx.segments_of(F.col("run"))))
     rows = rows.select(key, "run_no", "protected_run", "ps", F.posexplode_outer("ps").alias("piece_no", "piece"))
