@@ -78,16 +78,25 @@ def converted(text: Column, to: str, source: str = "old") -> Column:
     if source == to:
         return text
 
-    def one(p: Column, glued: Column) -> Column:
-        low, pattern = F.lower(tx.fold_confusables(p)), tx.case_pattern(p)
-        kind = tx.detect_script(low)
-        direct = (pattern != "mixed") & (kind == ("cyrillic" if source == "cyrillic" else "latin")) & ~F.coalesce(glued, F.lit(False))
-        return F.when(~tx.is_token(p), p).when(direct, tr.render(tr.canonical(low, source), to, pattern)).otherwise(tr.rule_token(p, to, "old" if source == "cyrillic" else source))
+    side = "cyrillic" if source == "cyrillic" else "latin"
+    beside = lambda ps, i: F.get(ps, i - 1).rlike(f"{tx.DIGIT}$") | F.coalesce(F.get(ps, i + 1).rlike(f"^{tx.DIGIT}"), F.lit(False))
+
+    def place(ps: Column, p: Column, i: Column) -> Column:
+        token = tx.is_token(p)
+        return F.struct(p.alias("p"), F.when(token, F.lower(tx.fold_confusables(p))).alias("low"), F.when(token, tx.letters_of(p)).alias("letters"), F.when(token, F.coalesce(beside(ps, i), F.lit(False))).alias("glued"))
+
+    def known(x: Column) -> Column:
+        return F.struct(x["p"].alias("p"), x["low"].alias("low"), x["glued"].alias("glued"), tx.case_of_letters(x["letters"]).alias("pattern"), tx.script_of_letters(F.lower(tx.fold_confusables(x["letters"]))).alias("kind"))
+
+    def one(x: Column) -> Column:
+        direct = (x["pattern"] != "mixed") & (x["kind"] == side) & ~x["glued"]
+        read = tr.render(tr.canonical(x["low"], source), to, x["pattern"])
+        return F.when(x["low"].isNull(), x["p"]).when(direct, read).otherwise(tr.rule_token(x["p"], to, "old" if source == "cyrillic" else source))
 
     def run(r: Column) -> Column:
-        beside = lambda ps, i: F.get(ps, i - 1).rlike(f"{tx.DIGIT}$") | F.coalesce(F.get(ps, i + 1).rlike(f"^{tx.DIGIT}"), F.lit(False))
-        # the pieces are bound once by a transform over one array
-        return F.get(F.transform(F.array(tx.segments_of(r)), lambda ps: F.array_join(F.transform(ps, lambda p, i: one(p, beside(ps, i))), "")), F.lit(0))
+        # every step is bound by a transform of its own, so that nothing is found twice for a piece
+        facts = F.transform(F.array(tx.segments_of(r)), lambda ps: F.array_join(F.transform(F.transform(F.transform(ps, lambda p, i: place(ps, p, i)), known), one), ""))
+        return F.get(facts, F.lit(0))
 
     return F.array_join(F.transform(tx.runs(text), lambda r: F.when(tx.is_protected_run(r), r).otherwise(run(r))), "")
 

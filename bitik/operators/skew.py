@@ -14,10 +14,9 @@ SPREAD = 4096
 
 def hot_keys(rows: DataFrame, *columns: str) -> DataFrame:
     """key: the values that stand in one in HOT_SHARE of the rows in any of the columns; at most HOT_SHARE times the columns."""
-    keys = rows.select(F.explode(F.array(*columns)).alias("key")).where("key IS NOT NULL")
-    counts = materialise(keys.groupBy("key").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") * HOT_SHARE * len(columns) >= total).select("key")
+    total = rows.count()
+    counts = rows.select(F.explode(F.array(*columns)).alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
+    return materialise(counts.where(F.col("n") * HOT_SHARE >= total).select("key"))
 
 
 def lookup(rows: DataFrame, column: str, values: DataFrame, hot: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from bitik.functions import text as tx, translit as tr
 from bitik.operators import build, corpus, correct, evidence as ev, lexicon as lx
 from bitik.plans import corpus_queries as cq, engine_queries as eq, lexicon_queries as lq, sql as q, update_queries as uq
-from bitik.session import materialise, table
+from bitik.session import materialise, spread, table
 
 SEED, SAMPLE, PER_CATEGORY, TOP = 20_26, 200, 50, 20
 GRID_NU, GRID_MIX = (0.0, 0.5, 1.0, 2.0), (0.0, 0.25, 0.5)
@@ -45,12 +45,12 @@ def sampled_sentences(spark, sf_dir):
 def typing_variants(spark, sf_dir):
     """Every update text without apostrophes, with s for sh, and on a Russian keyboard."""
     t = F.col("text")
-    return table(spark, sf_dir, "updates").select("update_id", build.without_apostrophes(t).alias("without_apostrophes"), build.bare_sh(t).alias("bare_sh"), tx.russian_layout(t).alias("russian_layout"))
+    return spread(table(spark, sf_dir, "updates").select("update_id", "text")).select("update_id", build.without_apostrophes(t).alias("without_apostrophes"), build.bare_sh(t).alias("bare_sh"), tx.russian_layout(t).alias("russian_layout"))
 
 
 def highlighted_texts(spark, sf_dir):
     """Every update text in new Latin as HTML with the changed letters set off."""
-    return table(spark, sf_dir, "updates").select("update_id", build.highlighted(F.col("text"), lambda p: tr.rule_token(p, "new")).alias("html"))
+    return spread(table(spark, sf_dir, "updates").select("update_id", "text")).select("update_id", build.highlighted(F.col("text"), lambda p: tr.rule_token(p, "new")).alias("html"))
 
 
 def foreign_collisions(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bitik.functions import text as tx, translit as tr
 from bitik.operators import build, corpus, updates as up
 from bitik.plans import sql as q
-from bitik.session import table
+from bitik.session import spread, table
 
 BOT = "bitik_bot"
 
@@ -87,7 +87,7 @@ def update_replies(spark, sf_dir):
 
 def convert(texts: DataFrame, key: str, to: str, source: str = "old") -> DataFrame:
     """Texts (key, text) converted token by token inside the row."""
-    return texts.select(key, build.converted(F.col("text"), to, source).alias("converted"))
+    return spread(texts.select(key, "text")).select(key, build.converted(F.col("text"), to, source).alias("converted"))
 
 
 def eval_items(spark, sf_dir):
