@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bitik import session
 from bitik.functions import registry, text as tx, translit as tr
-from bitik.operators import build, lexicon as lx, skew, updates as up
+from bitik.operators import build, correct, lexicon as lx, skew, updates as up
 
 
 def one(spark, text, change):
@@ -176,3 +176,19 @@ def test_seeded_order_is_uniform(spark):
     assert len({r["h"] for r in rows}) == 1000 and 30 < Counter(r["h"][0] for r in rows)["0"] < 100
     assert one(spark, "x", lambda c: build.seeded(1, c)) != one(spark, "x", lambda c: build.seeded(2, c))
     assert one(spark, "ABC-д", tx.russian_layout) == "ABC-д"
+
+
+def test_empty_tables(spark):
+    pairs = spark.createDataFrame([], "w1 string, w2 string, count bigint")
+    assert lx.adjacency(pairs).count() == lx.offsets(lx.adjacency(pairs)).count() == 0
+    assert lx.merged_bigrams(pairs, spark.createDataFrame([], "word string, admitted boolean, merged_into string")).count() == 0
+    lex, scores, suffixes = correct.lexicon(words(spark, [("olma", 1, 1, 1, 0, 1)]).limit(0)), correct.bigram_scores(pairs), spark.createDataFrame([], "suffix string")
+    users = spark.createDataFrame([], "user bigint, word string, bonus double")
+    texts = spark.createDataFrame([(1, "salom dunyo", 1), (2, None, 1), (3, "", None)], "id int, text string, user bigint")
+    for given in (None, users):
+        got = correct.autocorrect(texts, lex, scores, suffixes, users=given, morphology="correct").collect()
+        assert {r["id"]: r["corrected"] for r in got} == {1: "salom dunyo", 2: None, 3: ""}
+    asked = spark.createDataFrame([(1, "sal", None, 5), (2, None, None, None), (3, "", "salom", 5)], "query_id int, buffer string, prev string, user bigint")
+    assert correct.suggest(asked, lex, scores, users=users).count() == 0
+    assert build.sentence_pool(spark.createDataFrame([], "doc_id bigint, text string, register string")).count() == 0
+    assert tuple(build.outcomes(spark.createDataFrame([], "typed string, output string, expected string")).first()) == (0, 0, 0, 0, 0, None)
