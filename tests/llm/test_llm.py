@@ -139,6 +139,17 @@ def test_weights_follow_the_labels():
     assert not qu.fit_weights(x, np.ones(4)).any()
 
 
+def test_the_bound_holds_for_every_text(spark):
+    """Whatever the order of the hashes: text that is no prose and looks like prose is found beyond any first thousands of its language."""
+    rng = random.Random(6)
+    rows = [(h, "uz", h, *[float(rng.randrange(20)) for _ in qu.STATS], 1.0) for h in range(4050)]
+    rows += [(h, "uz", h, *[90.0 + h] * len(qu.STATS), 0.0) for h in range(-9, 0)]
+    rows.append((9000, "uz", 9000, *[10.0] * len(qu.STATS), 0.2))
+    stats = spark.createDataFrame(rows, "id bigint, lang string, h bigint, " + ", ".join(f"{s} double" for s in [*qu.STATS, "sentence_share"]))
+    found = qu.outlier_scores(stats).where("sentence_share < 0.5").select("id", "is_outlier").collect()
+    assert sorted(map(tuple, found)) == [(i, True) for i in (*range(-9, 0), 9000)]
+
+
 # --- language --------------------------------------------------------------------------------------------
 
 SENTENCES = {
