@@ -4,10 +4,12 @@ Compression classification: a segment is compressed by zstandard with the raw-co
 language of its script; the language whose dictionary gives the smallest output is its language, and the
 relative distance to the next is the confidence. Below MARGIN the segment is rejected (language and confidence null).
 
-The dictionaries are fitted on a bounded sample of labelled rows: SAMPLE_ROWS rows for each tag, in the
-order of a hash of their text, of at most SAMPLE_CHARS characters each. Tags may be wrong, so the sample's
-sentences are first classified by dictionaries of a few hundred hand-written words a language, and only
-sentences whose class is their tag are used. Everything else reads all rows and whole texts.
+The dictionaries are fitted on all labelled rows and whole texts. Tags may be wrong, so their sentences are first
+classified by dictionaries of a few hundred hand-written words a language, and only sentences whose class is
+their tag are used. The words of all these sentences are counted, and a dictionary is filled with a sentence for each
+word in the order of the counts: the shortest that holds it, unless it has words that are far more frequent in
+another language, which wrong tags brought in. A raw-content dictionary has a fixed size, DICTIONARY_BYTES, so
+the rarest words of all rows are what it may not hold.
 
 Defined results: null, empty and blank texts have no segments; a text without letters has none either.
 """
@@ -15,7 +17,7 @@ Defined results: null, empty and blank texts have no segments; a text without le
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,17 +27,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from bitik.functions.alphabet import APOSTROPHES
 from bitik.llm.charmap import CharMap
-from bitik.session import spread
+from bitik.session import materialise, spread
 
 LANGUAGES = ("uz", "ru", "en", "kk", "tg", "tr", "kaa")
-SAMPLE_ROWS = 300
-SAMPLE_CHARS = 20_000
 #: Bytes of a dictionary.
 DICTIONARY_BYTES = 96_000
 LEVEL = 12
 MARGIN = 0.02
 #: Words of a whole sentence that makes its language one of the text's languages.
 LEAST_WORDS = 6
+#: A word whose share of a language's words is under this part of its share in another language came there by wrong tags.
+LEAST_SHARE = 0.2
+#: Texts whose stretches are held and classified together.
+SLICE = 500
 
 # Common words and plain sentences of each language, written for this purpose.
 SEEDS = {
@@ -154,32 +158,75 @@ class Classifier:
         return out
 
 
-def _dictionaries(texts: Iterable[tuple[str, str]]) -> dict[tuple[str, bool], bytes]:
-    """Raw contents by language and script of (language, text)."""
+def fit(sentences: Iterable[tuple[str, bool, str]]) -> dict[tuple[str, bool], bytes]:
+    """Raw contents by language and script of sentences (language, whether Cyrillic, `plain` text), the most useful last, and of the seed words."""
     parts: dict[tuple[str, bool], list[bytes]] = defaultdict(list)
-    for lang, text in texts:
-        parts[lang, is_cyrillic(text)].append(plain(text))
-    # sentences, not their copies; the most useful content belongs at the end of a zstandard dictionary
+    for lang, cyrillic, text in sentences:
+        parts[lang, cyrillic].append(text.encode())
+    for lang, text in SEEDS.items():
+        for line in text.split("\n"):
+            parts[lang, is_cyrillic(line)].append(plain(line))
+    # the most useful content belongs at the end of a zstandard dictionary
     return {k: b" ".join(dict.fromkeys(v))[-DICTIONARY_BYTES:] for k, v in parts.items()}
 
 
-def fit(labelled: Iterable[tuple[str, str]]) -> dict[tuple[str, bool], bytes]:
-    """Dictionaries from seed words and the sentences of labelled texts that the seeds confirm."""
-    seeds = [(lang, line) for lang, text in SEEDS.items() for line in text.split("\n")]
-    first = _dictionaries(seeds)
-    pieces = [(lang, text[start:end]) for lang, text in labelled for _, start, end, n in units(text) if n >= LEAST_WORDS]
-    judged = Classifier(first).many([plain(p) for _, p in pieces], [is_cyrillic(p) for _, p in pieces])
-    sure = [piece for piece, (lang, _) in zip(pieces, judged, strict=True) if lang == piece[0]]
-    return _dictionaries([*sure, *seeds])
+def _words(sentences: list[str]) -> tuple[Counter[str], dict[str, str]]:
+    """The words of sentences with their counts, and the shortest sentence, the first in order of these, that holds each."""
+    counts, shortest = Counter(), {}
+    for sentence in sorted(sentences, key=lambda s: (len(s), s)):
+        words = sentence.split()
+        counts.update(words)
+        shortest.update(dict.fromkeys(set(words).difference(shortest), sentence))
+    return counts, shortest
+
 
+def confirmed_words(df: DataFrame, text_col: str = "text", lang_col: str = "lang_tag") -> DataFrame:
+    """lang, cyrillic, word, n, sentence: every word of the sentences whose tag the seed words confirm, its count, and the shortest sentence that holds it."""
+    seeds = fit([])
 
-def sample(df: DataFrame, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most SAMPLE_ROWS labelled rows for each language, chosen by a hash of the text alone."""
-    rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isin(*LANGUAGES) & (F.length("text").between(1, SAMPLE_CHARS)))
-    keyed = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
-    first = keyed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_ROWS)
-    chosen = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(first.select("lang", "h")), ["lang", "h"])
-    return sorted({(r["lang"], r["text"]) for r in chosen.select("lang", "text").distinct().toLocalIterator()})
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classify = Classifier(seeds)
+        for batch in batches:
+            for i in range(0, len(batch), SLICE):
+                pieces: list[tuple[str, bytes, bool]] = []
+                for lang, text in zip(batch["lang"].iloc[i : i + SLICE], batch["text"].iloc[i : i + SLICE], strict=True):
+                    if spans := [(start, end) for _, start, end, n in units(text) if n >= LEAST_WORDS]:
+                        pieces += [(lang, *ready) for ready in zip(*prepared(text, spans), strict=True)]
+                judged = classify.many([coded for _, coded, _ in pieces], [cyrillic for _, _, cyrillic in pieces])
+                sure: dict[tuple[str, bool], list[str]] = defaultdict(list)
+                for (tag, coded, cyrillic), (lang, _) in zip(pieces, judged, strict=True):
+                    if lang == tag:
+                        sure[tag, cyrillic].append(coded.decode())
+                for (lang, cyrillic), sentences in sure.items():
+                    counts, shortest = _words(sentences)
+                    yield pd.DataFrame({"lang": lang, "cyrillic": cyrillic, "word": list(shortest), "n": [counts[w] for w in shortest], "sentence": list(shortest.values())})
+
+    rows = spread(df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()))
+    found = rows.mapInPandas(run, "lang string, cyrillic boolean, word string, n bigint, sentence string")
+    least = F.min(F.struct(F.length("sentence").alias("length"), "sentence"))["sentence"]
+    return found.groupBy("lang", "cyrillic", "word").agg(F.sum("n").alias("n"), least.alias("sentence"))
+
+
+def dictionary_sentences(df: DataFrame, text_col: str = "text", lang_col: str = "lang_tag") -> list[tuple[str, bool, str]]:
+    """(language, whether Cyrillic, sentence) of the most frequent words of all rows, the most frequent last; of each language and script as much as a dictionary holds.
+
+    A word is its language's own unless its share of the language's words is under LEAST_SHARE of that in another one; sentences of own words only are taken.
+    """
+    order = Window.partitionBy("lang", "cyrillic").orderBy(F.desc("n"), "sentence")
+    words = materialise(confirmed_words(df, text_col, lang_col))
+    totals = words.groupBy("lang", "cyrillic").agg(F.sum("n").alias("total"))
+    shares = words.join(F.broadcast(totals), ["lang", "cyrillic"]).withColumn("share", F.col("n") / F.col("total"))
+    own = F.col("share") >= LEAST_SHARE * F.max("share").over(Window.partitionBy("cyrillic", "word"))
+    judged = shares.withColumn("own", own).select("lang", "cyrillic", "word", "n", "sentence", "own")
+    chosen = judged.where("own").groupBy("lang", "cyrillic", "sentence").agg(F.max("n").alias("n"))
+    parts = chosen.withColumn("word", F.explode(F.split("sentence", " "))).join(judged.select("lang", "cyrillic", "word", "own"), ["lang", "cyrillic", "word"])
+    once = parts.groupBy("lang", "cyrillic", "sentence", "n").agg(F.bool_and("own").alias("own")).where("own")
+    # six words and the blanks behind them are twelve bytes at least
+    first = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= DICTIONARY_BYTES // (2 * LEAST_WORDS))
+    before = F.sum(F.octet_length("sentence") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    held = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < DICTIONARY_BYTES)
+    rows = held.select("lang", "cyrillic", "sentence", "r").collect()
+    return [(r["lang"], r["cyrillic"], r["sentence"]) for r in sorted(rows, key=lambda r: (r["lang"], r["cyrillic"], -r["r"]))]
 
 
 def text_segments(text: str, classify: Classifier) -> list[tuple[int, int, str | None, float, int]]:
@@ -225,10 +272,6 @@ def _runs(parts: list[tuple[int, int, int, int]], judged: Iterator[tuple[str | N
     return [(start, end, lang, None if lang is None else weight / words, longest) for start, end, lang, weight, longest, _, _, words in out]
 
 
-#: Texts whose stretches are held and classified together.
-SLICE = 500
-
-
 def segments(df: DataFrame, dictionaries: dict[tuple[str, bool], bytes], id_col: str = "crawl_id", text_col: str = "text") -> DataFrame:
     """Rows id, start_pos, end_pos, lang, confidence, longest of every segment of every text."""
 
@@ -247,8 +290,8 @@ def segments(df: DataFrame, dictionaries: dict[tuple[str, bool], bytes], id_col:
 
 
 def language_segments(df: DataFrame, id_col: str = "crawl_id", text_col: str = "text", lang_col: str = "lang_tag") -> DataFrame:
-    """Dictionaries fitted on the sample of `df`, and the segments of all its texts."""
-    return segments(df, fit(sample(df, text_col, lang_col)), id_col, text_col)
+    """Dictionaries fitted on all labelled rows of `df`, and the segments of all its texts."""
+    return segments(df, fit(dictionary_sentences(df, text_col, lang_col)), id_col, text_col)
 
 
 def document_languages(parts: DataFrame, id_col: str = "crawl_id") -> DataFrame:

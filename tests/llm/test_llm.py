@@ -202,6 +202,21 @@ def test_many_texts_are_classified_as_one_by_one():
         assert la.prepared(text, [(0, len(text))]) == ([la.plain(text)], [la.is_cyrillic(text)])
 
 
+def test_dictionaries_hold_the_words_of_every_row(spark):
+    """Words that only a long labelled text, or only one row after hundreds, teaches are known."""
+    new = ["blorxa", "drenpu", "kvalmi", "zotrig", "fumbek", "lisharn", "ömbrak", "qosvit"]
+    sentence = "Bugun {} maktabda {} yangi kitoblar haqida gapirdilar, chunki ular juda yaxshi edi."
+    long_ = " ".join(sentence.format(new[i % 4], new[(i + 1) % 4]) for i in range(400))
+    late = [sentence.format(f"olma{i:04}"[:4], "nok") + f" {i}." for i in range(600)] + [sentence.format(a, b) for a, b in zip(new[4:], new[5:] + new[4:5])]
+    texts = [(long_, "uz"), *((x, "uz") for x in late), (" ".join(new[:4] + new[1:3]).capitalize() + ".", None), (" ".join(new[4:] + new[5:7]).capitalize() + ".", None)]
+    assert len(long_) > 20_000
+    df = spark.createDataFrame([(i, x, lang, 0.0, "r", 1, "s") for i, (x, lang) in enumerate(texts)], CRAWL)
+    got = {r["crawl_id"]: r["lang"] for r in la.language_segments(df).where(F.col("crawl_id") >= len(texts) - 2).collect()}
+    assert got == {len(texts) - 2: "uz", len(texts) - 1: "uz"}
+    words = {r["word"]: r["n"] for r in la.confirmed_words(df).collect()}
+    assert words["blorxa"] == 200 and words["nok"] == 600
+
+
 # --- sentences -------------------------------------------------------------------------------------------
 
 CUTS = [
