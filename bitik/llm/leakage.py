@@ -160,15 +160,15 @@ class Templates:
 
     CACHE = 500_000
 
-    def __init__(self, names: np.ndarray | None):
-        """names: the sorted numbers of the names; None: only numbers and units are placeholders."""
-        self.names, self.cache = names, {}
+    def __init__(self, names: np.ndarray, replaced: bool = True):
+        """names: the sorted numbers of the known names; replaced: whether windows with other slots are sought too."""
+        self.names, self.replaced, self.cache = names, replaced, {}
 
     def _look_up(self, words: list[str]) -> np.ndarray:
         """Number, number with numbers and units typed, and whether it is a known name, of each word."""
         new = [w for w in set(words) - self.cache.keys()]
         plain = np.fromiter(map(_number, new), dtype=np.uint64, count=len(new))
-        known = np.isin(plain, [] if self.names is None else self.names)
+        known = np.isin(plain, self.names)
         for w, n, k in zip(new, plain.tolist(), known.tolist(), strict=True):
             self.cache[w] = (n, _NUMBER if w[0].isdigit() else _UNIT if w in UNITS else n, int(k))
         out = np.array([self.cache[w] for w in words], dtype=np.uint64).reshape(len(words), 3)
@@ -193,11 +193,14 @@ class Templates:
                 hashes += numbers[k : k + n] * _POWERS[k]
             return hashes
 
-        # without names only numbers and units are placeholders, and words are compared after the join
-        before = [hashed(base if self.names is None else plain)]
+        if not self.replaced:
+            # equal words have equal slots in the template of numbers, units and known names; slots alone are no template, so their words are hashed
+            slots = typed | named
+            total = np.concatenate([[0], np.cumsum(slots)])
+            template = total[WINDOW:] - total[:-WINDOW] < WINDOW
+            return [(np.where(template, hashed(np.where(named & ~typed, np.uint64(_NAMED), base)), hashed(plain)), inside, slots)]
+        before = [hashed(plain)]
         out = [(before[0], inside, None)] if verbatim else []
-        if self.names is None:
-            return out
         capital, middle = np.array([m != "" and m != JOINED for m in marks]), np.array([INSIDE in m for m in marks])
         for names in (named, named | middle, capital):
             slots = typed | names
@@ -228,14 +231,14 @@ class WindowFilter:
         return self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
 
 
-def _window_rows(batches: Iterable[pd.DataFrame], names: np.ndarray | None, wanted: WindowFilter | None) -> Iterator[pd.DataFrame]:
+def _window_rows(batches: Iterable[pd.DataFrame], names: np.ndarray, wanted: WindowFilter | None, replaced: bool) -> Iterator[pd.DataFrame]:
     """Windows of a batch of (id, text): id, hash, words, slots (null for plain words); only those whose hash the filter may hold, if one is given."""
-    templates = Templates(names)
+    templates = Templates(names, replaced)
     # a batch is taken in slices, so that the words of only so many texts are held at once
     slices = (batch.iloc[i : i + SLICE] for batch in batches for i in range(0, len(batch), SLICE))
     for batch in slices:
         codes, texts = pd.factorize(batch["text"])
-        docs = [(k := word_keys(t), [""] * len(k)) for t in texts] if names is None else [marked_keys(t) for t in texts]
+        docs = [marked_keys(t) if replaced else (word_keys(t), []) for t in texts]
         split = [i for i, (_, marks) in enumerate(docs) if any(JOINED in m for m in marks)]
         rows = []
         for of, own, verbatim in ((range(len(docs)), docs, True), (split, [_whole_numbers(*docs[i]) for i in split], False)):
@@ -266,34 +269,38 @@ def context_table(items: DataFrame, text_col: str = "context") -> DataFrame:
     return texts.mapInPandas(run, "text string, id bigint, n_words int")
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "context", filter_bits: tuple[int, int] = FILTER_BITS, templates: bool = True) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "context", filter_bits: tuple[int, int] = FILTER_BITS, replaced: bool = True) -> DataFrame:
     """Documents with the evaluation items whose template windows they hold.
 
     Columns: doc_id, item_id, verbatim (windows with equal words), reparameterised (pairs of windows whose
     template is equal and whose slots are replaced one to one). The hashes of the items' windows are sent to the scan
     of the corpus as a filter of bounded size; only the windows it lets through, with their words, are shuffled to the
     join. The names of the contexts are sent along as sorted numbers, eight bytes each: a table of the
-    evaluation set's size, not the corpus's. Without `templates` only verbatim windows are sought: windows meet
-    by their template of numbers and units, and equal words decide.
+    evaluation set's size, not the corpus's. Without `replaced` only verbatim windows are sought: windows meet by
+    their template of numbers, units and names, and the slot check asks for equal values in every slot; other
+    readings of names, which only new values need, are not taken.
     """
     contexts = context_table(items, item_text)
-    names = None
-    if templates:
-        names = np.unique(np.array([r[0] for r in contexts.select("text").mapInPandas(_name_numbers, "name bigint").distinct().toLocalIterator()], dtype=np.int64).view(np.uint64))
-    wanted_rows = materialise(contexts.select("id", "text").mapInPandas(lambda b: _window_rows(b, names, None), "id bigint, h bigint, words string, slots string").distinct())
+    names = np.unique(np.array([r[0] for r in contexts.select("text").mapInPandas(_name_numbers, "name bigint").distinct().toLocalIterator()], dtype=np.int64).view(np.uint64))
+    wanted_rows = materialise(contexts.select("id", "text").mapInPandas(lambda b: _window_rows(b, names, None, replaced), "id bigint, h bigint, words string, slots string").distinct())
     hashes = wanted_rows.select("h").distinct()
     wanted = WindowFilter((r[0] for r in hashes.toLocalIterator()), hashes.count(), filter_bits)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
     kind = docs.schema[doc_id].dataType.simpleString()
-    hits = spread(texts).mapInPandas(lambda b: _window_rows(b, names, wanted), f"id {kind}, h bigint, words string, slots string")
+    hits = spread(texts).mapInPandas(lambda b: _window_rows(b, names, wanted, replaced), f"id {kind}, h bigint, words string, slots string")
     hits = hits.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     salted = wanted_rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = (F.col("d.words") == F.col("e.words")) & F.col("d.slots").isNull() & F.col("e.slots").isNull()
-    replaced = (F.col("d.words") != F.col("e.words")) & F.coalesce(_one_to_one(F.col("d.slots"), F.col("e.slots")), F.lit(False))
+    # the words of equal templates differ in their slots alone; a hash may also bring others together, so the words are compared in full
+    same = (F.col("d.words") == F.col("e.words")) & F.col("d.slots").eqNullSafe(F.col("e.slots"))
+    if replaced:  # with slots, windows of equal words are counted by their plain hash
+        same &= F.col("d.slots").isNull()
+        other = (F.col("d.words") != F.col("e.words")) & F.coalesce(_one_to_one(F.col("d.slots"), F.col("e.slots")), F.lit(False))
+    else:
+        other = F.lit(False)
     found = (
         hits.alias("d")
         .join(salted.alias("e"), (F.col("d.h") == F.col("e.h")) & (F.col("d.salt") == F.col("e.salt")))
-        .select(F.col("d.id").alias(doc_id), F.col("e.id").alias("context"), "d.words", F.col("e.words").alias("of"), same.alias("same"), replaced.alias("replaced"))
+        .select(F.col("d.id").alias(doc_id), F.col("e.id").alias("context"), "d.words", F.col("e.words").alias("of"), same.alias("same"), other.alias("replaced"))
         .where("same OR replaced")
         .distinct()
         .groupBy(doc_id, "context")

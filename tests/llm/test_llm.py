@@ -343,6 +343,21 @@ def test_leaks_with_new_names_and_written_numbers(spark, filter_bits):
     assert got == {(d, i): (d == 6, d != 6) for d, i in ((0, "a"), (1, "a"), (2, "a"), (4, "b"), (5, "b"), (6, "a"))}
 
 
+def test_verbatim_windows_meet_by_their_template(spark):
+    """The windows of p6_found are hashed with numbers, units and names typed, slots alone with their words; equal slots decide."""
+    names = np.array(sorted(le._number(k) for k in le.name_keys(CONTEXT)), dtype=np.uint64)
+    windows = lambda text: le.Templates(names, replaced=False).windows([(k := le.word_keys(text), [""] * len(k))], True)
+    (hashes, _, slots), = windows(CONTEXT)
+    (others, _, _), = windows(CONTEXT.replace("256", "31").replace("Komila Xinozoda", "Xinozoda Komila"))
+    assert len(names) == 2 and (hashes == others).all() and slots.sum() == 4  # "ta" is a unit
+    numbers = " ".join(map(str, range(100, 113)))
+    assert (windows(numbers)[0][0] != windows(numbers.replace("10", "20"))[0][0]).any()
+    table = spark.createDataFrame([("a", CONTEXT), ("n", numbers)], "item_id string, context string")
+    texts = [CYR, CONTEXT.replace("256", "31"), " ".join(CONTEXT.replace("Komila", "Xinozoda").split()[:14]), numbers, numbers.replace("100", "7").replace("112", "8")[2:], CONTEXT.upper()]
+    found = {replaced: {(r["doc_id"], r["item_id"], r["verbatim"]) for r in le.leaks(docs(spark, texts), table, replaced=replaced).where("verbatim > 0").collect()} for replaced in (True, False)}
+    assert found[True] == found[False] and {f[:2] for f in found[False]} == {(0, "a"), (3, "n"), (5, "a")}
+
+
 def test_marked_keys_are_the_word_keys():
     texts = [CONTEXT, CYR, CONTEXT.upper(), "<P>San'At G‘Afur &AMP; ʼOybek 1 000,5 Sʼham</P> BMT \ue000x", "Aʻ'B‘C 3.5ta Ye tS"]
     assert all(le.marked_keys(t)[0] == le.word_keys(t) for t in texts)
